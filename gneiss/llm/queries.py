@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gneiss.llm import chat, decontamination, licenses, mixing, pii
+from gneiss.llm import chat, decontamination, embeddings, jaccard, licenses, mixing, pii
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark, sf_dir):
+    return embeddings.link_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontamination(spark, sf_dir):
     return decontamination.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,5 +41,9 @@ def op8_pii(spark, sf_dir):
     return pii.report(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_mixing, op5_license_scan, op6_chat_format, op8_pii)}
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.link_documents(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_decontamination, op3_mixing, op5_license_scan, op6_chat_format, op8_pii, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
