@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gneiss.llm import chat, decontamination, embeddings, jaccard, licenses, mixing, pii
+from gneiss.llm import chat, decontamination, embeddings, jaccard, licenses, mixing, pii, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -37,6 +37,10 @@ def op6_chat_format(spark, sf_dir):
     return chat.digest(chat.format_turns(turns.unionByName(extra)))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pii(spark, sf_dir):
     return pii.report(spark, table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard.link_documents(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_decontamination, op3_mixing, op5_license_scan, op6_chat_format, op8_pii, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_decontamination, op3_mixing, op5_license_scan, op6_chat_format, op7_toxicity, op8_pii, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
