@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gneiss.llm import chat, decontamination, embeddings, jaccard, licenses, mixing, pii, toxicity
+from gneiss.llm import chat, decontamination, embeddings, hmm, jaccard, licenses, mixing, pii, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -49,5 +49,9 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard.link_documents(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_decontamination, op3_mixing, op5_license_scan, op6_chat_format, op7_toxicity, op8_pii, op9_jaccard_join)}
+def op10_lm_score(spark, sf_dir):
+    return hmm.lm_scores(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_decontamination, op3_mixing, op5_license_scan, op6_chat_format, op7_toxicity, op8_pii, op9_jaccard_join, op10_lm_score)}
 ORACLES: dict[str, str] = {}
