@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gneiss.llm import chat, decontamination, embeddings, hmm, jaccard, licenses, mixing, pii, toxicity
+from gneiss.llm import chat, decontamination, embeddings, hmm, jaccard, licenses, mixing, pii, repeats, toxicity
 
 
 def table(spark, sf_dir, name):
@@ -23,6 +23,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(spark, table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return repeats.remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_lm_score(spark, sf_dir):
     return hmm.lm_scores(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_decontamination, op3_mixing, op5_license_scan, op6_chat_format, op7_toxicity, op8_pii, op9_jaccard_join, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_decontamination, op3_mixing, op4_suffix_dedup, op5_license_scan, op6_chat_format, op7_toxicity, op8_pii, op9_jaccard_join, op10_lm_score)}
 ORACLES: dict[str, str] = {}
