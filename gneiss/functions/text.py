@@ -25,7 +25,7 @@ SLOW = r"[^\x00-\x7F]|[*_\\]|\w-\n\w"
 #: White space at which Python strips.
 ENDS = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 #: The start of a line that would be read as structure.
-STRUCTURE = r"![A-Z](\s|$)|#{1,6} |[-*+] |\d+[.)]? |> |`{3,}|%TDF"
+STRUCTURE = r"![A-Z](\s|$)|#{1,6} |[-*+] |\d+[.)]? |> |`{3,}|%[A-Z]{3}"
 NUMBER = r"^\s*([-+(]?)\s*([$€£¥]?)\s*([0-9,]+(?:\.[0-9]+)?)\s*([%)]?)\s*$"
 #: Words, and symbols one by one.
 TERM = r"[\p{L}\p{N}\p{M}]+|\p{S}"

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from gneiss.functions import text as tx
 from gneiss.functions import tokens as tk
 from gneiss.operators import boilerplate as bp
+from gneiss.operators import diff as df
 from gneiss.operators import fidelity as fd
 from gneiss.operators import perturb as pt
 from gneiss.operators import phrases as ph
+from gneiss.operators import questions as qs
+from gneiss.operators import sections as sc
 from gneiss.operators import spatial as sp
 from gneiss.operators import tables as tb
 from gneiss.operators import tiering as ti
+from gneiss.plans import codec as cd
+from gneiss.sources import blocks as bl
 from gneiss.sources import text as src
 from gneiss.streaming import windows as sw
 
@@ -275,8 +280,95 @@ def event_sessions(spark, sf_dir):
     return sw.sessions(table(spark, sf_dir, "events"))
 
 
-@query(rf"WITH {LINES} SELECT doc_id, i - 1 AS line, text FROM lines WHERE regexp_matches(text, '^!*(?:![A-Z](\s|$)|#{{1,6}} |[-*+] |\d+[.)]? |> |`{{3,}}|%TDF)')")
+@query(rf"WITH {LINES} SELECT doc_id, i - 1 AS line, text FROM lines WHERE regexp_matches(text, '^!*(?:![A-Z](\s|$)|#{{1,6}} |[-*+] |\d+[.)]? |> |`{{3,}}|%[A-Z]{{3}})')")
 def structural_lines(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     d = d.select("doc_id", F.col("line").cast("long").alias("line"), F.trim("text").alias("text"))
     return d.filter((F.col("text") != "") & tx.needs_escape(F.col("text")))
+
+
+def pages(spark, sf_dir):
+    return bl.parsed_blocks(table(spark, sf_dir, "pages"), bl.read_html, "page_id", "html")
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", "title", "pos", "kind", "level", "text", F.array_join("items", "|").alias("items"))
+
+
+@query("""SELECT page_id, '1' AS sid, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '\\s+', ' ', 'g')), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM pages WHERE regexp_matches(html, '<h1')""")
+def section_ids(spark, sf_dir):
+    b = pages(spark, sf_dir)
+    return sc.section_ids(b, "page_id").join(b, ["page_id", "pos"]).select("page_id", "sid", "text")
+
+
+@query()
+def skeleton(spark, sf_dir):
+    return sc.skeleton(pages(spark, sf_dir), "page_id")
+
+
+@query()
+def expand_sections(spark, sf_dir):
+    return sc.expand(pages(spark, sf_dir), ["1"], "page_id").select("page_id", "pos", "kind", "text", "section")
+
+
+@query()
+def markdown_blocks(spark, sf_dir):
+    """Conversations as Markdown, a heading for each turn, read back as blocks."""
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    md = F.array_join(F.transform("t", lambda x: F.concat(F.lit("## "), x["role"], F.lit("\n\n"), x["text"])), "\n\n")
+    b = bl.parsed_blocks(t.select("conv_id", md.alias("md")), bl.read_markdown, "conv_id", "md")
+    return b.select("conv_id", "pos", "kind", "level", "text")
+
+
+@query()
+def encode_documents(spark, sf_dir):
+    return cd.encode_documents(pages(spark, sf_dir), "page_id")
+
+
+@query()
+def decode_documents(spark, sf_dir):
+    return cd.decode_documents(cd.encode_documents(pages(spark, sf_dir), "page_id"), "page_id").select("page_id", "title", "pos", "kind", "level", "text", F.array_join("items", "|").alias("items"))
+
+
+@query("SELECT page_id, CAST(1.0 AS DOUBLE) AS distinct_recall, true AS same_structure FROM pages")
+def roundtrip_fidelity(spark, sf_dir):
+    return cd.roundtrip(pages(spark, sf_dir), "page_id").select("page_id", "distinct_recall", "same_structure")
+
+
+@query("SELECT page_id, CAST(0 AS INT) AS line, '' AS rule, '' AS detail FROM pages WHERE false")
+def validate_documents(spark, sf_dir):
+    return cd.validate_documents(cd.encode_documents(pages(spark, sf_dir), "page_id"), "page_id")
+
+
+@query()
+def token_stats(spark, sf_dir):
+    return cd.token_stats(pages(spark, sf_dir), "page_id").groupBy("format").agg(F.sum("tokens").alias("tokens"))
+
+
+@query()
+def arm_stats(spark, sf_dir):
+    return cd.arm_stats(pages(spark, sf_dir), "page_id").groupBy("arm").agg(F.sum("tokens").alias("tokens"), F.avg("distinct_recall").alias("distinct_recall"))
+
+
+@query()
+def repair_dictionary(spark, sf_dir):
+    return ph.document_phrases(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'removed' WHEN page_id % 5 = 1 AND regexp_matches(html, '<h1') THEN 'changed' ELSE 'same' END AS status FROM pages")
+def diff_documents(spark, sf_dir):
+    old = pages(spark, sf_dir)
+    new = old.filter("page_id % 5 <> 0").withColumn("text", F.when((F.col("page_id") % 5 == 1) & (F.col("kind") == "heading"), F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text")))
+    return df.diff_documents(old, new, "page_id").select("page_id", "status")
+
+
+@query()
+def questions(spark, sf_dir):
+    return qs.question_rows(pages(spark, sf_dir), "page_id")
+
+
+@query("""SELECT role, CAST(sum(CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS n, avg(CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0.0 END) AS accuracy, avg(len(regexp_extract_all(text, '\\S+'))) AS mean_tokens FROM conversations GROUP BY 1""")
+def score_answers(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("role", F.lit(" The ").alias("gold"), F.col("text").alias("pred"), tk.words(F.col("text")).alias("prompt_tokens"))
+    return qs.score_answers(c, ["role"])
