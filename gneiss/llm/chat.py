@@ -8,7 +8,7 @@ grammar, each turn is compared with its source, and turns that come back changed
                   | "[ROLE] " role " [SAYS] " text " [/ROLE]"  |  "[NONE] " text " [/NONE]"
 
 for user, assistant, system, any other role, and no role. In a text or role a backslash before "\\", "[" or "<" stands
-for that character alone; a control string counts only where no backslash stands before it.
+for that character alone, so that no control string of the template occurs inside.
 
 Turns are ordered by turn, then role, then text; nulls first. A null text is empty. Repeated rows are turns of their own;
 rows without conv_id form one conversation. An empty table gives what the extra conversations give. Other columns are
@@ -33,8 +33,8 @@ def quoted(s: str) -> str:
     return "".join("\\" + x if x in "[]\\." else x for x in s)
 
 
-#: One turn: opening, what stands between, closing. A control string after a backslash isn't one.
-TURN = rf"(?s)(?<!\\)({'|'.join(map(quoted, OPENINGS))})(.*?)(?<!\\)({'|'.join(map(quoted, CLOSINGS))})"
+#: One turn: opening, what stands between, closing. Texts have no closing: a backslash parts its blank from its bracket.
+TURN = rf"(?s)({'|'.join(map(quoted, OPENINGS))})(.*?)({'|'.join(map(quoted, CLOSINGS))})"
 #: What a text may not hold if it is to come back as it is.
 CONFLICT = r"\\[\\\[<]|\[(?:INST|OUT|SYS|ROLE|SAYS|NONE)\] | \[/(?:INST|OUT|SYS|ROLE|NONE)\]|</?s>"
 
@@ -63,8 +63,8 @@ def parse(formatted: Column) -> Column:
     def turn(x: Column) -> Column:
         opening, body = x["opens"], x["bodies"]
         other, none = opening == OTHER[0], opening == NONE[0]
-        cut = F.regexp_extract(body, rf"(?s)^(.*?)(?<!\\){quoted(OTHER[1])}(.*)$", 1)
-        rest = F.regexp_extract(body, rf"(?s)^(.*?)(?<!\\){quoted(OTHER[1])}(.*)$", 2)
+        cut = F.regexp_extract(body, rf"(?s)^(.*?){quoted(OTHER[1])}(.*)$", 1)
+        rest = F.regexp_extract(body, rf"(?s)^(.*?){quoted(OTHER[1])}(.*)$", 2)
         role = F.when(none, F.lit(None).cast("string"))
         for name, o, _ in TEMPLATE:
             role = role.when(opening == o, F.lit(name))
