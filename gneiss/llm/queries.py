@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gneiss.llm import chat, decontamination, embeddings, hmm, jaccard, licenses, mixing, pii, repeats, toxicity
+from gneiss.llm.oracles import ORACLES  # noqa: F401
 
 
 def table(spark, sf_dir, name):
@@ -58,4 +59,3 @@ def op10_lm_score(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_decontamination, op3_mixing, op4_suffix_dedup, op5_license_scan, op6_chat_format, op7_toxicity, op8_pii, op9_jaccard_join, op10_lm_score)}
-ORACLES: dict[str, str] = {}
