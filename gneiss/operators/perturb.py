@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gneiss.sources.blocks import Document
+
 
 def perturbed(number: Column, doc: Column) -> Column:
     """A whole number times 0.5 to 1.5, the same for a number everywhere in a document and in every run."""
@@ -33,3 +36,20 @@ def perturb_text(text: str, doc: str, names: dict[str, str] | None = None) -> tu
         return changed[n]
 
     return re.sub(r"\d+(?:\.\d+)?", one, text), changed
+
+
+def perturb_document(doc: Document, name: str, names: dict[str, str] | None = None) -> tuple[Document, dict[str, str]]:
+    """A document with names and numbers changed alike in all its texts, items, pairs and cells."""
+    changed: dict[str, str] = {}
+
+    def f(s: str) -> str:
+        s, c = perturb_text(s, name, names)
+        changed.update(c)
+        return s
+
+    blocks = [
+        replace(b, text=f(b.text), items=[f(x) for x in b.items], cols=[f(x) for x in b.cols], rows=[[f(x) for x in r] for r in b.rows], pairs=[(f(k), f(v)) for k, v in b.pairs], caption=f(b.caption))
+        if b.kind not in ("page", "elision", "figure", "quote") else b
+        for b in doc.blocks
+    ]
+    return Document(f(doc.title), blocks, doc.source), changed

@@ -159,3 +159,23 @@ def test_perturb():
     text, changed = perturb_text("42 and 42 and 7.50 at Acme", "d1", {"Acme": "Bolt"})
     assert text.split(" ")[0] == text.split(" ")[2] == changed["42"] and "Bolt" in text
     assert perturb_text("42", "d1") == ("%s" % changed["42"].split(".")[0], {"42": changed["42"]})
+
+
+def test_perturb_document():
+    from gneiss.operators.perturb import perturb_document
+
+    d = Document("Plan 42", [Block("para", "42 units"), Block("table", cols=["n"], rows=[["42"], ["7"]]), Block("page", number=42)])
+    out, changed = perturb_document(d, "d")
+    assert out.title == f"Plan {changed['42']}" and out.blocks[1].rows[0] == [changed["42"]] and out.blocks[2].number == 42
+
+
+def test_looks_unescaped():
+    assert c.looks_unescaped(Document("", [Block("para", "# x"), Block("para", "fine"), Block("heading", "# y", level=1)])) == ["# x"]
+
+
+def test_sql_functions(spark):
+    from gneiss.functions.register import register
+
+    assert "clean_text" in register(spark)
+    r = spark.sql("select clean_text('**a**  b'), normalize_cell('(1,200)'), dense_escape('# x'), token_chars('abcde'), clean_text(null)").first()
+    assert tuple(r) == ("a b", "-1200", "!# x", 2, None)

@@ -106,3 +106,13 @@ def test_cli(tmp_path, capsys):
     assert main(["verify", str(f)]) == 0 and main(["stats", str(f)]) == 0 and main(["convert", str(f), "--to", "skeleton"]) == 0
     assert main(["expand", str(f), "2"]) == 0 and "more" in capsys.readouterr().out
     assert main(["diff", str(f), str(f)]) == 0 and main(["convert", "nothing.md"]) == 1
+
+
+def test_data_source(spark, tmp_path):
+    from gneiss.sources.datasource import register
+
+    register(spark)
+    (tmp_path / "a.md").write_text("# T\n\npara\n\n- x\n- y")
+    (tmp_path / "b.csv").write_text("x,y\n1,2\n")
+    got = {r.kind: r for r in spark.read.format("docblocks").load(str(tmp_path)).collect()}
+    assert set(got) == {"para", "list", "table"} and got["list"]["items"] == ["x", "y"] and got["table"]["rows"] == [["1", "2"]]
