@@ -16,6 +16,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words in the sense of sizes and language models: runs without white space.
 RUN = r"[^\x20\x09-\x0D]+"
 K = ["_k1", "_k2"]
+EDGES_A_FILE = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,30 +86,35 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
 
     Alternates large-star and small-star steps (each node's neighbours are linked to its smallest one), so that the
     number of rounds grows with the logarithm of the size. Minima are aggregated before they are shuffled, both sides
-    of each join come from written tables, so that a hub's rows can be split. Self-links may name lone nodes.
+    of each join come from written tables, so that a hub's rows can be split. Self-links may name lone nodes. Tables of
+    the rounds have a file for each EDGES_A_FILE edges, as there are rarely more of them than at the start.
     """
-    cur = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    first = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # count and a digest that doesn't depend on the order: equal exactly if nothing changes any more
+    state = lambda t: t.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    cur, before = first, state(first)
+    files = before[0] // EDGES_A_FILE + 1
+    write = lambda df: scratch.write(df.coalesce(files))
     for _ in range(max_rounds):
         # large star: larger neighbours go to the smallest of all neighbours and the node itself
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = (
+        low = write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = write(
             both.filter("v >= u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.filter("u = m").select("u", F.col("m").alias("v"))).distinct()
         )
-        large = scratch.write(large)
         # small star: smaller neighbours and the node itself go to the smallest neighbour
-        low2 = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")))
-        new = (
+        low2 = write(large.groupBy("u").agg(F.min("v").alias("m")))
+        new = write(
             large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
         )
-        new = scratch.write(new.select("u", "v"))
-        same = new.join(cur, ["u", "v"], "left_anti").limit(1).count() == 0 and new.count() == cur.count()
+        now = state(new)
         scratch.drop(cur, low, large, low2)
         cur = new
-        if same:
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("the components did not settle")
-    return scratch.write(cur.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"))
+    return write(cur.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"))
