@@ -178,13 +178,14 @@ def link_classes(scratch: Scratch, docs: DataFrame, threshold: float = THRESHOLD
     lead = F.conv(F.hex(F.substring("cls", 1, 7)), 16, 10).cast("long")
     keys = sig.filter("cls is not null").select(lead.alias("c"), F.explode("keys").alias("key"))
     shared = scratch.write(keys.groupBy("key").agg(F.min("c").alias("v"), F.max("c").alias("z")).filter("v <> z").select("key", "v"))
-    edges = keys.join(shared, "key").select(F.col("c").alias("u"), "v").distinct()
+    # joins that shuffle at scale are written as such, so that small inputs show the same plan
+    edges = keys.join(shared.hint("merge"), "key").select(F.col("c").alias("u"), "v").distinct()
     clusters = components(scratch, edges)
     cand = scratch.write(classes.withColumn("c", lead).join(clusters, F.col("c") == F.col("node")).select("cls", "mult", "n", "first", F.col("component").alias("cluster")))
     tiles = cand.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     cand = cand.join(scratch.write(tiles), "cluster").withColumn("tile", F.expr("cast(pmod(xxhash64(cls), tiles) as int)"))
     cand = scratch.write(cand.select("cls", "mult", "cluster", "tile", "tiles", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2")))
-    text = rows.select(*K, "text").join(cand, K)
+    text = rows.select(*K, "text").join(cand.hint("merge"), K)
     text = text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = text.select("cluster", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "cls", "mult", "text")
@@ -220,5 +221,5 @@ def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD)
     stay = scratch.write(again.join(lead, ["_p1", "_p2"], "left").filter("_one is not null or _none = 1").select("_p1", "_p2", ((F.col("_m") > 1) & (F.col("_none") == 0)).alias("_again")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.withColumns({"_k1": F.xxhash64(F.col("doc_id"), text), "_k2": F.hash(text, F.col("doc_id"))})
-    d = d.join(stay, (F.col("_k1") == F.col("_p1")) & (F.col("_k2") == F.col("_p2")))
+    d = d.join(stay.hint("merge"), (F.col("_k1") == F.col("_p1")) & (F.col("_k2") == F.col("_p2")))
     return d.filter("not _again").unionByName(d.filter("_again").dropDuplicates(K)).select(*docs.columns)
