@@ -27,12 +27,14 @@ from gneiss.llm import tokens as tk
 from gneiss.llm.common import K, Scratch, keyed, remainder
 
 EXAMPLES = 2048
-TERMS = 4096
+TERMS = 2048
 PREFIXES = (6, 7)
 #: Least G-squared of a term's difference between the labels.
 SIGNIFICANT = 12.0
 NEAREST = 25
 BLOCK = 64
+#: Blocks that are read before any is passed over.
+FIRST = 8
 THRESHOLD = 0.7
 
 
@@ -107,51 +109,58 @@ def vector_batches(vocabulary: np.ndarray, bases: np.ndarray):
 
 
 class Index:
-    """Labelled vectors in blocks. terms and tf: one array each for every example."""
+    """Labelled vectors. terms and tf: one array each for every example. Weights are kept by term, block and place in the
+    block, with each block's largest; a worker lays them out when it first needs them."""
 
     def __init__(self, terms: list, tf: list, toxic: np.ndarray, idf: np.ndarray, share: tuple[float, float]):
         self.idf, self.toxic = idf, toxic.astype(float)
         n = np.bincount(toxic.astype(int), minlength=2)
         self.mass = np.where(toxic > 0, share[1] / max(n[1], 1), share[0] / max(n[0], 1))
-        postings: dict[int, dict[int, list]] = {}
         self.own = [self.vector(t, f) for t, f in zip(terms, tf, strict=True)]
-        for e, (t, w) in enumerate(self.own):
-            for k, x in zip(t.tolist(), w.tolist(), strict=True):
-                postings.setdefault(k, {}).setdefault(e // BLOCK, []).append((e, x))
         self.blocks = -(-len(terms) // BLOCK)
-        #: term -> its blocks, the largest weight in each
-        self.tops = {k: (np.array(list(b)), np.array([max(x for _, x in v) for v in b.values()])) for k, b in postings.items()}
-        self.postings = {k: {b: (np.array([e % BLOCK for e, _ in v]), np.array([x for _, x in v])) for b, v in by.items()} for k, by in postings.items()}
+        self.laid = None
         none = np.array([not len(t) for t, _ in self.own], bool)
-        self.none = float((self.mass * self.toxic)[none].sum() / self.mass[none].sum()) if none.any() else share[1]
+        self.none = float((self.mass * self.toxic)[none].sum() / self.mass[none].sum()) if none.any() else share[1] / max(sum(share), 1)
         self.steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         if len(terms):
             self.fit()
+        self.laid = None  # not sent along
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(tf)) * self.idf[terms]
         return terms, w / max(np.sqrt((w * w).sum()), 1e-300)
 
+    def lay(self) -> tuple[np.ndarray, np.ndarray]:
+        weights = np.zeros((len(self.idf), self.blocks * BLOCK), np.float32)
+        for e, (t, w) in enumerate(self.own):
+            weights[t, e] = w
+        weights = weights.reshape(len(self.idf), self.blocks, BLOCK)
+        return weights, weights.max(2)
+
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples that share a term, and their cosines; ties go to the first."""
-        bound = np.zeros(self.blocks)
-        for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-            if t in self.tops:
-                b, top = self.tops[t]
-                bound[b] += x * top
-        ids, cos = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(cos) == k and bound[b] < cos[-1] - 1e-12:
-                break
-            got = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                if (p := self.postings.get(t, {}).get(b)) is not None:
-                    got[p[0]] += x * p[1]
-            hit = np.flatnonzero(got > 0)
-            ids, cos = np.concatenate((ids, hit + b * BLOCK)), np.concatenate((cos, got[hit]))
-            order = np.lexsort((ids, -cos))[:k]
-            ids, cos = ids[order], cos[order]
-        return ids, cos
+        """The k nearest examples that share a term, and their cosines; ties go to the first. The blocks with the highest
+        bounds come first; of the others those are read whose bound reaches the k-th cosine so far."""
+        if self.laid is None:
+            self.laid = self.lay()
+        weights, tops = self.laid
+        w = w.astype(np.float32)
+        bound = w @ tops[terms] * np.float32(1 + 1e-5)
+        order = np.argsort(-bound, kind="stable")
+        first, rest = np.sort(order[:FIRST]), order[FIRST:]
+        ids, cos = self.read(weights, terms, w, first)
+        least = np.partition(cos, -k)[-k] if len(cos) >= k else 0.0
+        rest = np.sort(rest[(bound[rest] >= least) & (bound[rest] > 0)])
+        if len(rest):
+            more, c = self.read(weights, terms, w, rest)
+            ids, cos = np.concatenate((ids, more)), np.concatenate((cos, c))
+        keep = np.lexsort((ids, -cos))[:k]
+        keep = keep[cos[keep] > 0]
+        return ids[keep], cos[keep].astype(float)
+
+    @staticmethod
+    def read(weights: np.ndarray, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = np.tensordot(w, weights[terms[:, None], blocks], 1)
+        return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel(), got.ravel()
 
     def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
         w = cos * self.mass[ids]
@@ -184,6 +193,24 @@ class Index:
         return float(np.clip(np.interp(self.vote(ids, cos), *self.steps), 0, 1)), ids
 
 
+def keep_batches(index, vocabulary: np.ndarray, bases: np.ndarray):
+    """Rows, with all columns, whose text scores below the threshold."""
+    vectors = vector_batches(vocabulary, bases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = index.value
+        for batch in batches:
+            text = batch.column("text").cast(pa.large_string()).fill_null("")
+            none = pa.nulls(batch.num_rows, pa.int64())
+            keep: list[bool] = []
+            for part in vectors(iter([pa.RecordBatch.from_arrays([none, none, none, text], ["doc_id", "_k1", "_k2", "text"])])):
+                for t, f in zip(part.column("terms"), part.column("tf"), strict=True):
+                    keep.append(at.score(t.values.to_numpy(), f.values.to_numpy())[0] < THRESHOLD)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def score_batches(index, names: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = index.value
@@ -193,13 +220,13 @@ def score_batches(index, names: list):
             t, f = np.asarray(terms.values), np.asarray(tf.values)
             got = [at.score(t[a:z], f[a:z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             evidence = [",".join(names[e] for e in ids[:5]) for _, ids in got]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"), pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, pa.string())], ["doc_id", "_k1", "_k2", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, pa.string())], ["doc_id", "score", "evidence"])
 
     return run
 
 
-def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, row key, score, evidence (ids of the nearest examples) for each row of docs."""
+def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple:
+    """The index (broadcast), its examples' ids, the vocabulary and its bases, and the vectors of all rows of docs."""
     rows = keyed(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -231,29 +258,31 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scr
     for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # TERMS rows at most
         df[r.t] = r.n
     idf = np.log((1 + vectors.count()) / (1 + df)) + 1e-3
-    place_of = {int(h): i for i, h in enumerate(vocabulary.astype(np.int64).tolist())}
-    by: dict[str, tuple[int, list, list]] = {r.x: (r.toxic, [], []) for r in texts.select("x", "toxic").collect()}
-    if place_of:
-        for r in terms.join(F.broadcast(spark.createDataFrame([(k,) for k in place_of], "term bigint")), "term").select("x", "term", "tf").collect():  # bounded by the sample
-            by[r.x][1].append(place_of[r.term])
-            by[r.x][2].append(r.tf)
-    names = sorted(by)
-    parts = [np.argsort(np.array(by[x][1], int)) for x in names]
-    index = Index([np.array(by[x][1], int)[o] for x, o in zip(names, parts, strict=True)], [np.array(by[x][2], float)[o] for x, o in zip(names, parts, strict=True)], np.array([by[x][0] for x in names]), idf, (share.get(0, 0), share.get(1, 0)) if share else (1.0, 0.0))
+    toxic_of = {r.x: r.toxic for r in texts.select("x", "toxic").collect()}  # 2 * EXAMPLES rows at most
+    names = sorted(toxic_of)
+    own_terms, own_tf = [np.zeros(0, int)] * len(names), [np.zeros(0)] * len(names)
+    if len(vocabulary):
+        known = spark.createDataFrame([(int(h),) for h in vocabulary.astype(np.int64)], "term bigint")
+        got = terms.join(F.broadcast(known), "term").select("x", "term", "tf").toPandas()  # the sample's terms
+        got["at"] = np.searchsorted(vocabulary, got.term.to_numpy().astype(np.uint64))
+        place = {x: i for i, x in enumerate(names)}
+        for x, g in got.sort_values("at").groupby("x"):
+            own_terms[place[x]], own_tf[place[x]] = g["at"].to_numpy(), g["tf"].to_numpy(float)
+    index = Index(own_terms, own_tf, np.array([toxic_of[x] for x in names]), idf, (share.get(0, 0), share.get(1, 0)) if share else (1.0, 0.0))
     if not names or not share.get(1):
         index.none = 0.0
-    return vectors.mapInArrow(score_batches(spark.sparkContext.broadcast(index), names), f"doc_id {kind}, _k1 bigint, _k2 int, score double, evidence string")
+    return spark.sparkContext.broadcast(index), names, vocabulary, bases, vectors
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence for each row of docs."""
-    out = scored(spark, docs, labels, Scratch(spark))
+    """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) for each row of docs."""
+    index, names, _, _, vectors = learned(spark, docs, labels, Scratch(spark))
+    kind = vectors.schema["doc_id"].dataType.simpleString()
+    out = vectors.mapInArrow(score_batches(index, names), f"doc_id {kind}, score double, evidence string")
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that score below the threshold."""
-    scratch = Scratch(spark)
-    bad = scratch.write(scored(spark, docs, labels, scratch).filter(F.col("score") >= THRESHOLD).select(*K).distinct())
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(bad, (F.xxhash64(F.col("doc_id"), text) == bad["_k1"]) & (F.hash(text, F.col("doc_id")) == bad["_k2"]), "left_anti")
+    """The rows of docs, with all columns, that score below the threshold. A second pass over the texts, no shuffle."""
+    index, _, vocabulary, bases, _ = learned(spark, docs, labels, Scratch(spark))
+    return docs.mapInArrow(keep_batches(index, vocabulary, bases), docs.schema)
