@@ -32,6 +32,8 @@ ANCHOR = 200
 SIDE = LENGTH - ANCHOR
 CONTEXTS = 4000
 BUNDLE = 2_000_000
+#: Contexts that a task holds at once where it makes or digests them.
+SLICE = 1000
 
 
 def anchors(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,39 +75,44 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def contexts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """row, hash, place, bytes before the anchor, context."""
-    hs, ats = batch.column("h").to_pylist(), batch.column("at").to_pylist()
-    for r, text in enumerate(batch.column("text").to_pylist()):
-        raw = text.encode() if isinstance(text, str) else text
-        for h, at in zip(hs[r], ats[r], strict=True):
+def contexts(batch: pa.RecordBatch, *more: str) -> Iterator[list[tuple]]:
+    """Slices of (row, hash, place, bytes before the anchor, context, ...), with values of further array columns."""
+    out: list[tuple] = []
+    for r in range(batch.num_rows):
+        raw = batch.column("text")[r].as_py().encode()
+        for h, at, *x in zip(*(batch.column(c)[r].as_py() for c in ("h", "at", *more)), strict=True):
             left = min(at, SIDE)
-            yield r, h, at, left, raw[at - left : at + ANCHOR + SIDE]
+            out.append((r, h, at, left, raw[at - left : at + ANCHOR + SIDE], *x))
+            if len(out) == SLICE:
+                yield out
+                out = []
+    if out:
+        yield out
+
+
+def context_digest(before: int, context: bytes) -> bytes:
+    return hashlib.blake2b(context, digest_size=16, salt=before.to_bytes(2, "little")).digest()
 
 
 def occurrence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, h, at, left, digest, size = [], [], [], [], [], []
-        for r, x, p, before, c in contexts(batch):
-            rows.append(r)
-            h.append(x)
-            at.append(p)
-            left.append(before)
-            size.append(len(c))
-            digest.append(hashlib.blake2b(c, digest_size=16, salt=before.to_bytes(2, "little")).digest())
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("_k1").take(take), batch.column("_k2").take(take), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(left, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], ["_k1", "_k2", "h", "at", "before", "size", "ctx"])
+        for got in contexts(batch):
+            rows, h, at, before, context = zip(*got, strict=True)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_k1").take(take), batch.column("_k2").take(take), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(before, pa.int32()), pa.array([len(c) for c in context], pa.int32()), pa.array(map(context_digest, before, context), pa.binary())],
+                ["_k1", "_k2", "h", "at", "before", "size", "ctx"],
+            )
 
 
 def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crowd = batch.column("crowd").to_pylist()
-        got = list(contexts(batch))
-        size = iter([x for row in crowd for x in row])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.blake2b(g[4], digest_size=16, salt=g[3].to_bytes(2, "little")).digest() for g in got], pa.binary()), pa.array([g[3] for g in got], pa.int32()), pa.array([g[4] for g in got], pa.binary()), pa.array(list(size), pa.int64())],
-            ["h", "ctx", "before", "bytes", "crowd"],
-        )
+        for got in contexts(batch, "crowd"):
+            _, h, _, before, context, crowd = zip(*got, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h, pa.int64()), pa.array(map(context_digest, before, context), pa.binary()), pa.array(before, pa.int32()), pa.array(context, pa.binary()), pa.array(crowd, pa.int64())],
+                ["h", "ctx", "before", "bytes", "crowd"],
+            )
 
 
 def sort_bundle(group: np.ndarray, before: np.ndarray, strings: list[bytes]) -> list[tuple[list[int], list[int]]]:
@@ -162,15 +169,23 @@ def bundle(held: list[pa.Table]) -> pa.RecordBatch:
 
 def window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of contexts of crowded anchors by their digests."""
-    for batch in batches:
-        rows, place, digest = [], [], []
-        for r, (left, c) in enumerate(zip(batch.column("before").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
-            for s in range(len(c) - LENGTH + 1):
-                rows.append(r)
-                place.append(s - left)
-                digest.append(hashlib.blake2b(c[s : s + LENGTH], digest_size=16).digest())
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("h").take(take), batch.column("ctx").take(take), pa.array(place, pa.int32()), pa.array(digest, pa.binary())], ["h", "ctx", "a", "w"])
+    for whole in batches:
+        for k in range(0, whole.num_rows, SLICE // 10):
+            batch = whole.slice(k, SLICE // 10)
+            rows, place, digest = [], [], []
+            for r, (left, c) in enumerate(zip(batch.column("before").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
+                for s in range(len(c) - LENGTH + 1):
+                    rows.append(r)
+                    place.append(s - left)
+                    digest.append(hashlib.blake2b(c[s : s + LENGTH], digest_size=16).digest())
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("h").take(take), batch.column("ctx").take(take), pa.array(place, pa.int32()), pa.array(digest, pa.binary())], ["h", "ctx", "a", "w"])
+
+
+#: SQL: the stretches of sorted starts s, those that touch as one.
+MERGED = f"""aggregate(s, cast(array() as array<struct<a:int,z:int>>), (o, x) ->
+    if(size(o) > 0 and x <= element_at(o, -1).z, concat(slice(o, 1, size(o) - 1), array(named_struct('a', element_at(o, -1).a, 'z', x + {LENGTH}))),
+       concat(o, array(named_struct('a', x, 'z', x + {LENGTH})))))"""
 
 
 def kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +240,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     many = mixed.filter(F.col("crowd") > CONTEXTS).mapInArrow(window_batches, "h bigint, ctx binary, a int, w binary")
     many = scratch.write(many)
     twice = scratch.write(many.groupBy("h", "a", "w").agg(F.count("*").alias("c")).filter("c > 1").select("h", "a", "w"))
-    many = many.join(twice, ["h", "a", "w"]).select("h", "ctx", "a", (F.col("a") + LENGTH).alias("z"))
+    many = many.join(twice, ["h", "a", "w"]).groupBy("h", "ctx").agg(F.array_sort(F.collect_set("a")).alias("s"))
+    many = many.select("h", "ctx", F.explode(F.expr(MERGED)).alias("x")).select("h", "ctx", "x.a", "x.z")
     full = different.filter((F.col("c") > 1) & (F.col("size") >= LENGTH)).select("h", "ctx", (-F.col("before")).alias("a"), (F.col("size") - F.col("before")).alias("z"))
     repeats = scratch.write(few.unionByName(many).unionByName(full))
     spans = seen.join(repeats, ["h", "ctx"]).groupBy(*K).agg(F.array_sort(F.collect_set(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("z")).alias("z")))).alias("spans"))
