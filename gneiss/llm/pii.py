@@ -32,7 +32,9 @@ ID = r"A-Za-z0-9._%+@:/-"
 TOKEN = rf"(?<![{ID}])(?=[{ID}]{{6}})[A-Za-z._%+@:/-]*+[0-9][{ID}]*+"
 SECRET = r"^[0-9a-f]{32,}$"
 ROUNDS = 3
+#: Different seeds of a pattern, and their share of all different seeds: chance contexts recur as the corpus grows.
 MIN_SEEDS = 3
+MIN_SHARE = 0.0005
 MIN_SCORE = 0.5
 #: Added to a pattern's occurrences, so that few of them prove little.
 PRIOR = 1.0
@@ -90,7 +92,9 @@ def patterns(scratch: Scratch, docs: DataFrame, found: DataFrame) -> DataFrame:
     inst = found.select("doc_id", *K, F.explode("cand").alias("c"), "base").select(
         "c.*", (F.exists("base", lambda s: (s["start"] < F.col("c.stop")) & (s["stop"] > F.col("c.start"))) | F.col("c.token").rlike(SECRET)).alias("seed"))
     edges = inst.filter("w2 <> ''").groupBy(*P, "token").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("int")).alias("seed"))
-    seeded = edges.groupBy(*P).agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
+    edges = scratch.write(edges)
+    support = max(MIN_SEEDS, MIN_SHARE * edges.filter("seed = 1").select("token").distinct().count())
+    seeded = edges.groupBy(*P).agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= support)
     edges = scratch.write(edges.join(seeded, P).select(*P, "token", "n", "seed"))
     # how often the patterns occur at all, whatever follows
     pairs = edges.select("w1", "w2").distinct().withColumn("h", F.xxhash64(F.array("w1", "w2")))
@@ -157,7 +161,7 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     spans = find(spark, docs).filter(F.size("spans") > 0).select(F.col("_k1").alias("_p1"), F.col("_k2").alias("_p2"), F.col("spans").alias("_spans")).dropDuplicates(["_p1", "_p2"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.withColumns({"_k1": F.xxhash64(F.col("doc_id"), text), "_k2": F.hash(text, F.col("doc_id"))})
-    d = d.join(spans, (F.col("_k1") == F.col("_p1")) & (F.col("_k2") == F.col("_p2")), "left")
+    d = d.join(spans.hint("merge"), (F.col("_k1") == F.col("_p1")) & (F.col("_k2") == F.col("_p2")), "left")
     d = d.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), "_spans")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
