@@ -108,6 +108,15 @@ def vector_batches(vocabulary: np.ndarray, bases: np.ndarray):
     return run
 
 
+def frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of a partition have each term: a row for each term that occurs."""
+    n = np.zeros(TERMS, np.int64)
+    for batch in batches:
+        n += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=TERMS)
+    t = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(n[t])], ["t", "n"])
+
+
 class Index:
     """Labelled vectors. terms and tf: one array each for every example. Weights are kept by term, block and place in the
     block, with each block's largest; a worker lays them out when it first needs them."""
@@ -255,7 +264,8 @@ def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Sc
     bases = np.unique(np.array([r.base for r in chosen], np.int64).astype(np.uint64))
     vectors = scratch.write(rows.mapInArrow(vector_batches(vocabulary, bases), f"doc_id {kind}, _k1 bigint, _k2 int, terms array<int>, tf array<int>"))
     df = np.zeros(max(len(vocabulary), 1))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # TERMS rows at most
+    held = vectors.select("terms").mapInArrow(frequency_batches, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
+    for r in held.collect():  # TERMS rows at most
         df[r.t] = r.n
     idf = np.log((1 + vectors.count()) / (1 + df)) + 1e-3
     toxic_of = {r.x: r.toxic for r in texts.select("x", "toxic").collect()}  # 2 * EXAMPLES rows at most
