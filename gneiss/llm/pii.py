@@ -5,7 +5,9 @@ identifier characters with a digit) as an instance and the two words before it,
 pattern. Tokens that are base spans or long hexadecimal keys are seeds. Scores go back and forth over the graph of
 patterns and instances: a pattern scores by the share of its occurrences whose instance is trusted, an instance by the
 patterns that hold it. Occurrences are counted over the whole corpus, so that common word pairs, which mostly precede
-other words, never become patterns. Tokens in patterns that end with a high score are reported as kind "id".
+other words, never become patterns. Tokens in patterns that end with a high score are reported as kind "id". What a pattern
+needs doesn't depend on the size of the corpus. All contexts (as 64-bit hashes) are added up by partition before they meet
+the patterns, so that common ones make no rows.
 
 A null text is empty. Rows that agree in id and text get equal results, one each. An empty table gives an empty result;
 other columns are ignored. All offsets count code points. Whole texts are read; the expressions scan in linear time.
@@ -32,12 +34,13 @@ ID = r"A-Za-z0-9._%+@:/-"
 TOKEN = rf"(?<![{ID}])(?=[{ID}]{{6}})[A-Za-z._%+@:/-]*+[0-9][{ID}]*+"
 SECRET = r"^[0-9a-f]{32,}$"
 ROUNDS = 3
-#: Different seeds of a pattern, and their share of all different seeds: chance contexts recur as the corpus grows.
+#: Different seeds of a pattern, at any size of the corpus.
 MIN_SEEDS = 3
-MIN_SHARE = 0.0005
 MIN_SCORE = 0.5
 #: Added to a pattern's occurrences, so that few of them prove little.
 PRIOR = 1.0
+#: Patterns that are broadcast at most.
+BROADCAST = 1_000_000
 SPAN = "array<struct<start:int,stop:int,kind:int,m:string>>"
 
 
@@ -87,25 +90,26 @@ def instances() -> Column:
 P = ["w1", "w2", "pre"]
 
 
+def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """w1, w2, pre, seen: how often the wanted patterns occur at all, whatever follows."""
+    w = docs.select(F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\s+"), lambda x: x != "").alias("w"))
+    hashes = "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], regexp_extract(w[i + 2], '^[^A-Za-z0-9]*', 0)))"
+    count = w.filter("size(w) > 2").select(F.explode(F.expr(hashes)).alias("h")).groupBy("h").agg(F.count("*").alias("seen"))
+    return count.join(wanted.withColumn("h", F.xxhash64(*P)), "h").select(*P, "seen")
+
+
 def patterns(scratch: Scratch, docs: DataFrame, found: DataFrame) -> DataFrame:
     """w1, w2, pre, score of the patterns whose score is high."""
     inst = found.select("doc_id", *K, F.explode("cand").alias("c"), "base").select(
         "c.*", (F.exists("base", lambda s: (s["start"] < F.col("c.stop")) & (s["stop"] > F.col("c.start"))) | F.col("c.token").rlike(SECRET)).alias("seed"))
     edges = inst.filter("w2 <> ''").groupBy(*P, "token").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("int")).alias("seed"))
     edges = scratch.write(edges)
-    support = max(MIN_SEEDS, MIN_SHARE * edges.filter("seed = 1").select("token").distinct().count())
-    seeded = edges.groupBy(*P).agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= support)
+    seeded = edges.groupBy(*P).agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
     edges = scratch.write(edges.join(seeded, P).select(*P, "token", "n", "seed"))
-    # how often the patterns occur at all, whatever follows
-    pairs = edges.select("w1", "w2").distinct().withColumn("h", F.xxhash64(F.array("w1", "w2")))
-    pairs = scratch.write(pairs)
-    if pairs.count() <= 1_000_000:
-        pairs = F.broadcast(pairs)
-    w = docs.select(F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\s+"), lambda x: x != "").alias("w"))
-    w = w.select("w", F.posexplode_outer(F.expr("if(size(w) > 2, transform(sequence(1, size(w) - 2), i -> xxhash64(slice(w, i, 2))), cast(array() as array<bigint>))")).alias("i", "h"))
-    pre = F.expr("regexp_extract(w[i + 2], '^[^A-Za-z0-9]*', 0)")
-    seen = w.join(pairs, "h").filter("w[i] = w1 and w[i + 1] = w2").groupBy("w1", "w2", pre.alias("pre")).agg(F.count("*").alias("seen"))
-    seen = scratch.write(seen)
+    wanted = scratch.write(edges.select(*P).distinct())
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    seen = scratch.write(occurrences(docs, wanted))
     graph = edges.withColumn("s", F.col("seed").cast("double"))
     for _ in range(ROUNDS):
         score = graph.groupBy(*P).agg(F.sum(F.col("s") * F.col("n")).alias("good"), F.sum("n").alias("n"), F.sum("seed").alias("seeds"))
@@ -121,7 +125,7 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     found = scratch.write(keyed(docs).select("doc_id", *K, base_spans().alias("base"), instances().alias("cand")))
     good = patterns(scratch, docs, found)
-    if good.count() <= 1_000_000:
+    if good.count() <= BROADCAST:
         good = F.broadcast(good)
     new = found.filter(F.size("cand") > 0).select(*K, "base", F.explode("cand").alias("c")).select(*K, "base", "c.*").join(good, P)
     new = new.filter(~F.exists("base", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start"))))

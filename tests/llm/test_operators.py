@@ -150,6 +150,33 @@ def test_pii_bootstrap(spark):
     assert text[90] == ("mail [EMAIL], [PHONE].", 22) and text[91][0] is None and "ZX-1000" not in text[50][0] and out.columns[0] == "doc_id"
 
 
+def test_pii_support_does_not_grow(spark):
+    """Three seeds make a pattern among 7,000 others as well."""
+    r = random.Random(4)
+    key = lambda: "%040x" % r.getrandbits(160)
+    rows = [(i, f"{prose(r, 5)} account number: {key()} end", None) for i in range(3)] + [(50, f"{prose(r, 5)} account number: ZX-1000-77 end", None)]
+    few = {x.doc_id: x.n_new for x in pii.report(spark, frame(spark, rows)).collect()}
+    many = [*rows, *[(100 + i, " ".join(f"w{chr(97 + j % 26)}{prose(r, 1)} {prose(r, 1)} {key()}" for j in range(100)), None) for i in range(70)]]
+    got = {x.doc_id: x.n_new for x in pii.report(spark, frame(spark, many)).collect()}
+    assert few[50] == got[50] == 1
+
+
+def test_pii_occurrences(spark):
+    import re
+
+    r = random.Random(5)
+    bits = ["Key", "is:", "no", "(#", "(#x1", "é", "--9", "no", "a.b", "#é1"]
+    texts = [r.choice([" ", "\n", ""]) + r.choice([" ", " \t"]).join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(200)]
+    want = {}
+    for t in texts:
+        w = re.findall(r"[^ \t\n\x0b\f\r]+", t.lower())
+        for a, b, c in zip(w, w[1:], w[2:]):  # noqa: B905
+            k = (a, b, re.match("[^A-Za-z0-9]*", c)[0])
+            want[k] = want.get(k, 0) + 1
+    docs, wanted = frame(spark, [(i, t, None) for i, t in enumerate(texts)]), spark.createDataFrame(list(want), "w1 string, w2 string, pre string")
+    assert {(x.w1, x.w2, x.pre): x.seen for x in pii.occurrences(docs, wanted).collect()} == want
+
+
 def components(n, pairs, ids):
     p = list(range(n))
 
