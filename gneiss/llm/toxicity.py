@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded sample of labelled rows (EXAMPLES of each label, the first by a hash of their ids) is the index. Terms are words
-and their first six and seven bytes, and each of these once more if it occurs twice; those whose frequency differs between the labels of the sample make up the space.
-Document frequencies come from all documents. Examples and documents are TF-IDF vectors of length one. The nearest
-examples by cosine are found exactly: postings are kept by blocks of examples with each block's largest weight, blocks are
-visited by falling upper bound, and the search ends when no block can hold a nearer one. Neighbours vote with their cosine
-as weight, each label weighing as much as it has in the table. A monotone fit of left-out votes of the examples to their
-labels turns votes into scores. Documents without any of the terms get the share of toxic examples among their like.
+and their first six and seven bytes, and each of these once more if it occurs twice; all terms of the examples make up the
+space. Document frequencies come from all documents. Weights are TF-IDF times the root of 1 + G-squared of the term's
+difference between the labels of the sample: no term is left out, telling ones weigh more. Examples are vectors of length one over all their terms. A
+document's terms that no example has would only stretch its own vector, by which neither the order of its neighbours nor
+the shares of their votes change, so that they need no weights. All cosines are found exactly: terms of many examples by
+matrix products, the others by their postings. Neighbours vote with their cosine as weight, each label weighing as much as
+it has in the table. A monotone fit of left-out votes of the examples to their labels turns votes into scores. Documents
+without any of the terms get the share of toxic examples among their like.
 
 A null text is empty; an empty text gets a score too. Labels that repeat count once (toxic if any says so); rows without a
 label are not learned from, nor are those held out. Rows that repeat get equal results. Without labels all scores are 0.
 An empty table gives an empty result; other columns are ignored. The index is broadcast; its size is bounded by EXAMPLES
-and TERMS.
+and the length of their texts.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +30,12 @@ from gneiss.llm import tokens as tk
 from gneiss.llm.common import K, Scratch, keyed, remainder
 
 EXAMPLES = 2048
-TERMS = 2048
 PREFIXES = (6, 7)
-#: Least G-squared of a term's difference between the labels.
-SIGNIFICANT = 12.0
 NEAREST = 25
-BLOCK = 64
-#: Blocks that are read before any is passed over.
-FIRST = 8
+#: Terms of more than one in so many examples go into the matrix.
+DENSE = 16
+#: Documents that are worked on at once.
+STRETCH = 32
 THRESHOLD = 0.7
 
 
@@ -58,186 +59,224 @@ def more_than_once(terms: np.ndarray) -> np.ndarray:
     return tk.mix(terms ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j, terms, docs in text_terms(batch.column("text")):
-            order = np.lexsort((terms, docs))
-            terms, docs = terms[order], docs[order]
-            new = np.ones(len(terms), bool)
-            new[1:] = (terms[1:] != terms[:-1]) | (docs[1:] != docs[:-1])
-            at = np.flatnonzero(new)
-            tf = np.diff(np.append(at, len(terms)))
-            rows = pa.array(docs[at] + i)
-            base, many = terms[at], tf > 1
-            rows = pa.concat_arrays([rows, rows.filter(pa.array(many))])
-            terms = np.concatenate((base, more_than_once(base[many])))
-            base, tf = np.concatenate((base, base[many])), np.concatenate((tf, np.ones(many.sum(), tf.dtype)))
-            cols = [batch.column("x").take(rows), batch.column("toxic").take(rows), pa.array(terms.astype(np.int64)), pa.array(base.astype(np.int64)), pa.array(tf)]
-            yield pa.RecordBatch.from_arrays(cols, ["x", "toxic", "term", "base", "tf"])
+def example_batches(names: list):
+    """names: the examples' ids; e is the place in them. twice marks the terms that say that another occurs twice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = pc.index_in(batch.column("x"), value_set=pa.array(names, pa.string()))
+            for i, _, terms, docs in text_terms(batch.column("text")):
+                order = np.lexsort((terms, docs))
+                terms, docs = terms[order], docs[order]
+                new = np.ones(len(terms), bool)
+                new[1:] = (terms[1:] != terms[:-1]) | (docs[1:] != docs[:-1])
+                at = np.flatnonzero(new)
+                tf = np.diff(np.append(at, len(terms)))
+                base, many = terms[at], tf > 1
+                rows = np.concatenate((docs[at], docs[at][many])) + i
+                terms = np.concatenate((base, more_than_once(base[many])))
+                tf = np.concatenate((tf, np.ones(many.sum(), tf.dtype)))
+                yield pa.RecordBatch.from_arrays([e.take(pa.array(rows)), pa.array(terms.astype(np.int64)), pa.array(np.arange(len(terms)) >= len(base)), pa.array(tf.astype(np.int32))], ["e", "term", "twice", "tf"])
 
-def vector_batches(vocabulary: np.ndarray, bases: np.ndarray):
-    """vocabulary: sorted hashes; bases: sorted hashes of the terms that they are made from. Rows with the places of their
-    terms in the vocabulary and how often each occurs."""
+    return run
 
-    def place(terms: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-        return np.where(vocabulary[at] == terms, at, -1) if len(vocabulary) else np.full(len(terms), -1)
 
-    once, twice = place(bases), place(more_than_once(bases))
+class Space:
+    """vocabulary: sorted hashes; bases: sorted hashes of the terms that they are made from."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, terms, docs in text_terms(batch.column("text")):
-                at = np.minimum(np.searchsorted(bases, terms), max(len(bases) - 1, 0))
-                hit = bases[at] == terms if len(bases) else np.zeros(len(terms), bool)
-                code, tf = np.unique(docs[hit] * (TERMS + 1) + at[hit], return_counts=True)
-                doc, at = code // (TERMS + 1), code % (TERMS + 1)
-                one, two = once[at] >= 0, (twice[at] >= 0) & (tf > 1)
-                code = np.concatenate((doc[one] * (TERMS + 1) + once[at[one]], doc[two] * (TERMS + 1) + twice[at[two]]))
-                tf = np.concatenate((tf[one], np.ones(two.sum(), tf.dtype)))
-                order = np.argsort(code)
-                code, tf = code[order], tf[order]
-                cut = np.searchsorted(code, np.arange(j - i + 1) * (TERMS + 1)).astype(np.int32)
-                rows = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("_k1"), rows.column("_k2"), pa.ListArray.from_arrays(cut, pa.array((code % (TERMS + 1)).astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(tf.astype(np.int32)))],
-                    ["doc_id", "_k1", "_k2", "terms", "tf"],
-                )
+    def __init__(self, vocabulary: np.ndarray, bases: np.ndarray):
+        self.vocabulary, self.bases = vocabulary, bases
+        self.once, self.twice = self.place(bases), self.place(more_than_once(bases))
 
-    return run
+    def place(self, terms: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == terms, at, -1) if len(self.vocabulary) else np.full(len(terms), -1)
+
+    def vectors(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """How many texts, and for these the places of their terms in the vocabulary and how often each occurs, by text."""
+        wide = max(len(self.vocabulary), len(self.bases)) + 1
+        for i, j, terms, docs in text_terms(column):
+            at = np.minimum(np.searchsorted(self.bases, terms), max(len(self.bases) - 1, 0))
+            hit = self.bases[at] == terms if len(self.bases) else np.zeros(len(terms), bool)
+            code, tf = np.unique(docs[hit] * wide + at[hit], return_counts=True)
+            doc, at = code // wide, code % wide
+            one, two = self.once[at] >= 0, (self.twice[at] >= 0) & (tf > 1)
+            code = np.concatenate((doc[one] * wide + self.once[at[one]], doc[two] * wide + self.twice[at[two]]))
+            tf = np.concatenate((tf[one], np.ones(two.sum(), tf.dtype)))
+            order = np.argsort(code)
+            yield j - i, code[order] // wide, code[order] % wide, tf[order]
 
 
-def frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def frequency_batches(space):
     """How many documents of a partition have each term: a row for each term that occurs."""
-    n = np.zeros(TERMS, np.int64)
-    for batch in batches:
-        n += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=TERMS)
-    t = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(n[t])], ["t", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(space.value.vocabulary), np.int64)
+        for batch in batches:
+            for _, _, terms, _ in space.value.vectors(batch.column("text")):
+                n += np.bincount(terms, minlength=len(n))
+        t = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(n[t])], ["t", "n"])
+
+    return run
 
 
 class Index:
-    """Labelled vectors. terms and tf: one array each for every example. Weights are kept by term, block and place in the
-    block, with each block's largest; a worker lays them out when it first needs them."""
+    """Labelled vectors. terms and tf: one array each for every example. Terms of many examples are kept as a matrix, the
+    others as postings; a worker lays them out when it first needs them."""
 
-    def __init__(self, terms: list, tf: list, toxic: np.ndarray, idf: np.ndarray, share: tuple[float, float]):
+    def __init__(self, terms: list, tf: list, toxic: np.ndarray, idf: np.ndarray, share: tuple[float, float], fit: bool = True):
         self.idf, self.toxic = idf, toxic.astype(float)
         n = np.bincount(toxic.astype(int), minlength=2)
         self.mass = np.where(toxic > 0, share[1] / max(n[1], 1), share[0] / max(n[0], 1))
         self.own = [self.vector(t, f) for t, f in zip(terms, tf, strict=True)]
-        self.blocks = -(-len(terms) // BLOCK)
         self.laid = None
         none = np.array([not len(t) for t, _ in self.own], bool)
         self.none = float((self.mass * self.toxic)[none].sum() / self.mass[none].sum()) if none.any() else share[1] / max(sum(share), 1)
         self.steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        if len(terms):
-            self.fit()
-        self.laid = None  # not sent along
+        if len(terms) and fit:
+            self.steps = self.fit(self.votes(np.arange(len(terms))))
 
     def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(tf)) * self.idf[terms]
-        return terms, w / max(np.sqrt((w * w).sum()), 1e-300)
-
-    def lay(self) -> tuple[np.ndarray, np.ndarray]:
-        weights = np.zeros((len(self.idf), self.blocks * BLOCK), np.float32)
-        for e, (t, w) in enumerate(self.own):
-            weights[t, e] = w
-        weights = weights.reshape(len(self.idf), self.blocks, BLOCK)
-        return weights, weights.max(2)
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples that share a term, and their cosines; ties go to the first. The blocks with the highest
-        bounds come first; of the others those are read whose bound reaches the k-th cosine so far."""
+        return terms.astype(np.int32), (w / max(np.sqrt((w * w).sum()), 1e-300)).astype(np.float32)
+
+    def lay(self) -> tuple:
+        """For each term its row of the matrix or -1, the matrix, and each term's first posting, the postings' examples and
+        weights."""
+        n = len(self.own)
+        t, w = (np.concatenate([x[k] for x in self.own]) for k in (0, 1))
+        e = np.repeat(np.arange(n), [len(x[0]) for x in self.own])
+        size = np.bincount(t, minlength=len(self.idf))
+        dense = size * DENSE > n
+        row = np.where(dense, np.cumsum(dense) - 1, -1)
+        matrix = np.zeros((int(dense.sum()), n), np.float32)
+        matrix[row[t[dense[t]]], e[dense[t]]] = w[dense[t]]
+        rest = np.flatnonzero(~dense[t])
+        rest = rest[np.argsort(t[rest], kind="stable")]
+        return row, matrix, np.concatenate(([0], np.cumsum(np.where(dense, 0, size)))), e[rest], w[rest]
+
+    def cosines(self, n: int, doc: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Of n vectors, whose weights come by vector, with all examples."""
         if self.laid is None:
             self.laid = self.lay()
-        weights, tops = self.laid
-        w = w.astype(np.float32)
-        bound = w @ tops[terms] * np.float32(1 + 1e-5)
-        order = np.argsort(-bound, kind="stable")
-        first, rest = np.sort(order[:FIRST]), order[FIRST:]
-        ids, cos = self.read(weights, terms, w, first)
-        least = np.partition(cos, -k)[-k] if len(cos) >= k else 0.0
-        rest = np.sort(rest[(bound[rest] >= least) & (bound[rest] > 0)])
-        if len(rest):
-            more, c = self.read(weights, terms, w, rest)
-            ids, cos = np.concatenate((ids, more)), np.concatenate((cos, c))
+        row, matrix, at, examples, weights = self.laid
+        dense = row[terms] >= 0
+        x = np.zeros((n, len(matrix)), np.float32)
+        x[doc[dense], row[terms[dense]]] = w[dense]
+        got = x @ matrix
+        doc, terms, w = doc[~dense], terms[~dense], w[~dense]
+        size = at[terms + 1] - at[terms]
+        post = np.arange(size.sum()) + np.repeat(at[terms] - np.cumsum(size) + size, size)
+        rest = np.bincount(np.repeat(doc * len(self.own), size) + examples[post], np.repeat(w, size) * weights[post], n * len(self.own))
+        return got + rest.reshape(n, -1).astype(np.float32)
+
+    @staticmethod
+    def best(cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k largest cosines, to six places, and whose they are; ties go to the first."""
+        least = np.partition(cos, -k)[-k] if len(cos) > k else 0.0
+        ids = np.flatnonzero((cos >= least - 2e-6) & (cos > 0))
+        cos = np.round(cos[ids].astype(float), 6)
         keep = np.lexsort((ids, -cos))[:k]
         keep = keep[cos[keep] > 0]
-        return ids[keep], cos[keep].astype(float)
+        return ids[keep], cos[keep]
 
-    @staticmethod
-    def read(weights: np.ndarray, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        got = np.tensordot(w, weights[terms[:, None], blocks], 1)
-        return (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel(), got.ravel()
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples that share a term, and their cosines."""
+        return self.best(self.cosines(1, np.zeros(len(terms), int), terms, w)[0], k)
 
     def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
         w = cos * self.mass[ids]
         return float((w * self.toxic[ids]).sum() / w.sum())
 
-    def fit(self) -> None:
-        """Pools neighbouring votes until the shares of toxic examples rise with the votes."""
-        votes = []
-        for e, (t, w) in enumerate(self.own):
-            ids, cos = self.nearest(t, w, NEAREST + 1) if len(t) else (np.zeros(0, int), 0)
+    def many(self, n: int, doc: np.ndarray, terms: np.ndarray, w: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest() for each of n vectors."""
+        for i in range(0, n, STRETCH):
+            j = min(i + STRETCH, n)
+            s, e = np.searchsorted(doc, [i, j])
+            for cos in self.cosines(j - i, doc[s:e] - i, terms[s:e], w[s:e]):
+                yield self.best(cos, k)
+
+    def votes(self, examples: np.ndarray) -> list[tuple[int, float]]:
+        """Of these examples, each left out itself."""
+        out = []
+        doc = np.repeat(np.arange(len(examples)), [len(self.own[e][0]) for e in examples])
+        terms, w = (np.concatenate([self.own[e][k] for e in examples]) for k in (0, 1))
+        for e, (ids, cos) in zip(examples.tolist(), self.many(len(examples), doc, terms, w, NEAREST + 1), strict=True):
             if len(ids[ids != e]):
-                cos, ids = cos[ids != e][:NEAREST], ids[ids != e][:NEAREST]
-                votes.append((self.vote(ids, cos), self.toxic[e], self.mass[e]))
+                out.append((e, self.vote(ids[ids != e][:NEAREST], cos[ids != e][:NEAREST])))
+        return out
+
+    def fit(self, votes: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Pools neighbouring votes until the shares of toxic examples rise with the votes."""
         pools: list[list[float]] = []
-        for x, y, m in sorted(votes):
+        for x, y, m in sorted((v, self.toxic[e], self.mass[e]) for e, v in votes):
             pools.append([x * m, y * m, m])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 last = pools.pop()
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-        if pools:
-            p = np.array(pools)
-            self.steps = p[:, 0] / p[:, 2], p[:, 1] / p[:, 2]
+        if not pools:
+            return self.steps
+        p = np.array(pools)
+        return p[:, 0] / p[:, 2], p[:, 1] / p[:, 2]
+
+    def score(self, n: int, doc: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+        """Score and nearest examples of each of n documents."""
+        w = (1 + np.log(tf)) * self.idf[terms]
+        w = (w / np.sqrt(np.bincount(doc, w * w, n))[doc]).astype(np.float32)
+        for ids, cos in self.many(n, doc, terms, w, NEAREST):
+            yield (float(np.clip(np.interp(self.vote(ids, cos), *self.steps), 0, 1)) if len(ids) else self.none), ids
+
+
+def vote_batches(index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = index.value.votes(batch.column("id").to_numpy()) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in got], pa.int64()), pa.array([v for _, v in got], pa.float64())], ["e", "vote"])
 
-    def score(self, terms: np.ndarray, tf: np.ndarray) -> tuple[float, np.ndarray]:
-        if not len(terms):
-            return self.none, np.zeros(0, int)
-        ids, cos = self.nearest(*self.vector(terms, tf), NEAREST)
-        if not len(ids):
-            return self.none, ids
-        return float(np.clip(np.interp(self.vote(ids, cos), *self.steps), 0, 1)), ids
+    return run
+
+
+def scored(index: Index, space: Space, steps: tuple, text: pa.Array) -> list:
+    index.steps = steps
+    if not len(index.own):
+        return [(index.none, np.zeros(0, int))] * len(text)
+    return [x for part in space.vectors(text) for x in index.score(*part)]
 
 
-def keep_batches(index, vocabulary: np.ndarray, bases: np.ndarray):
+def keep_batches(index, space, steps):
     """Rows, with all columns, whose text scores below the threshold."""
-    vectors = vector_batches(vocabulary, bases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = index.value
         for batch in batches:
             text = batch.column("text").cast(pa.large_string()).fill_null("")
-            none = pa.nulls(batch.num_rows, pa.int64())
-            keep: list[bool] = []
-            for part in vectors(iter([pa.RecordBatch.from_arrays([none, none, none, text], ["doc_id", "_k1", "_k2", "text"])])):
-                for t, f in zip(part.column("terms"), part.column("tf"), strict=True):
-                    keep.append(at.score(t.values.to_numpy(), f.values.to_numpy())[0] < THRESHOLD)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([s < THRESHOLD for s, _ in scored(index.value, space.value, steps, text)], pa.bool_()))
 
     return run
 
 
-def score_batches(index, names: list):
+def score_batches(index, space, steps, names: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = index.value
         for batch in batches:
-            terms, tf = batch.column("terms"), batch.column("tf")
-            off = np.asarray(terms.offsets)
-            t, f = np.asarray(terms.values), np.asarray(tf.values)
-            got = [at.score(t[a:z], f[a:z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            got = scored(index.value, space.value, steps, batch.column("text"))
             evidence = [",".join(names[e] for e in ids[:5]) for _, ids in got]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array(evidence, pa.string())], ["doc_id", "score", "evidence"])
 
     return run
 
 
+def weight(at: np.ndarray, label: np.ndarray, size: int, toxic: np.ndarray) -> np.ndarray:
+    """For each of so many terms the root of 1 + G-squared. at, label: each example's terms and its label."""
+    n, a = np.bincount(at, minlength=size).astype(float), np.bincount(at, label, size)
+    n1, total = toxic.sum(), max(len(toxic), 1)
+    part = lambda o, e: o * np.log(np.where(o > 0, o, 1) / np.where(o > 0, e, 1))
+    g = part(a, n * n1 / total) + part(n - a, n * (total - n1) / total) + part(n1 - a, (total - n) * n1 / total) + part(total - n1 - n + a, (total - n) * (total - n1) / total)
+    return np.sqrt(1 + 2 * np.maximum(g, 0))
+
+
 def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple:
-    """The index (broadcast), its examples' ids, the vocabulary and its bases, and the vectors of all rows of docs."""
-    rows = keyed(docs)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    """The index and its space (both broadcast), the steps of its fit, and its examples' ids."""
+    rows, sc = keyed(docs), spark.sparkContext
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     learn = labels.filter(remainder(F.col("doc_id"), 3) != 1)
@@ -246,53 +285,44 @@ def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Sc
     sample = scratch.write(sample)  # 2 * EXAMPLES rows at most
     texts = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(*K, "text")).alias("t"))
     texts = scratch.write(texts.select(F.col("doc_id").cast("string").alias("x"), "toxic", F.col("t.text").alias("text")))
-    terms = scratch.write(texts.repartition(16).mapInArrow(example_batches, "x string, toxic int, term bigint, base bigint, tf bigint"))
-    n0, n1 = (texts.filter(F.col("toxic") == y).count() for y in (0, 1))
-    total = n0 + n1
-    count = terms.groupBy("term").agg(F.count("*").cast("double").alias("n"), F.sum("toxic").cast("double").alias("a"), F.min("base").alias("base"))
-
-    def part(o, e):
-        return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-
-    a, n = F.col("a"), F.col("n")
-    if n0 and n1:
-        g = part(a, n * n1 / total) + part(n - a, n * n0 / total) + part(n1 - a, (total - n) * n1 / total) + part(n0 - (n - a), (total - n) * n0 / total)
-        chosen = count.withColumn("g", 2 * g).filter((F.col("g") >= SIGNIFICANT) & (n >= 4)).orderBy(F.desc("g"), "term").limit(TERMS).select("term", "base").collect()
-    else:
-        chosen = []
-    vocabulary = np.sort(np.array([r.term for r in chosen], np.int64).astype(np.uint64))
-    bases = np.unique(np.array([r.base for r in chosen], np.int64).astype(np.uint64))
-    vectors = scratch.write(rows.mapInArrow(vector_batches(vocabulary, bases), f"doc_id {kind}, _k1 bigint, _k2 int, terms array<int>, tf array<int>"))
-    df = np.zeros(max(len(vocabulary), 1))
-    held = vectors.select("terms").mapInArrow(frequency_batches, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
-    for r in held.collect():  # TERMS rows at most
-        df[r.t] = r.n
-    idf = np.log((1 + vectors.count()) / (1 + df)) + 1e-3
     toxic_of = {r.x: r.toxic for r in texts.select("x", "toxic").collect()}  # 2 * EXAMPLES rows at most
     names = sorted(toxic_of)
-    own_terms, own_tf = [np.zeros(0, int)] * len(names), [np.zeros(0)] * len(names)
-    if len(vocabulary):
-        known = spark.createDataFrame([(int(h),) for h in vocabulary.astype(np.int64)], "term bigint")
-        got = terms.join(F.broadcast(known), "term").select("x", "term", "tf").toPandas()  # the sample's terms
-        got["at"] = np.searchsorted(vocabulary, got.term.to_numpy().astype(np.uint64))
-        place = {x: i for i, x in enumerate(names)}
-        for x, g in got.sort_values("at").groupby("x"):
-            own_terms[place[x]], own_tf[place[x]] = g["at"].to_numpy(), g["tf"].to_numpy(float)
-    index = Index(own_terms, own_tf, np.array([toxic_of[x] for x in names]), idf, (share.get(0, 0), share.get(1, 0)) if share else (1.0, 0.0))
+    terms = texts.repartition(16).mapInArrow(example_batches(names), "e int, term bigint, twice boolean, tf int").toArrow()  # the examples' terms
+    e, tf = terms.column("e").to_numpy(), terms.column("tf").to_numpy().astype(np.float32)
+    bases = np.unique(terms.filter(pc.invert(terms.column("twice"))).column("term").to_numpy().view(np.uint64))
+    term = terms.column("term").to_numpy().view(np.uint64)
+    vocabulary = np.unique(term)
+    at = np.searchsorted(vocabulary, term).astype(np.int32)
+    del terms, term
+    space = sc.broadcast(Space(vocabulary, bases))
+    df = np.zeros(max(len(vocabulary), 1))
+    held = rows.select("text").mapInArrow(frequency_batches(space), "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toPandas()  # a row a term
+    df[held.t.to_numpy(int)] = held.n
+    idf = np.log((1 + docs.count()) / (1 + df)) + 1e-3
+    toxic = np.array([toxic_of[x] for x in names], int)
+    idf *= weight(at, toxic[e], len(df), toxic)
+    order = np.argsort(e * np.int64(len(df)) + at)
+    e, at, tf = e[order], at[order], tf[order]
+    cut = np.searchsorted(e, np.arange(1, len(names)))
+    own_terms, own_tf = (np.split(at, cut), np.split(tf, cut)) if names else ([], [])
+    index = Index(own_terms, own_tf, toxic, idf, (share.get(0, 0), share.get(1, 0)) if share else (1.0, 0.0), False)
     if not names or not share.get(1):
         index.none = 0.0
-    return spark.sparkContext.broadcast(index), names, vocabulary, bases, vectors
+    shared = sc.broadcast(index)
+    votes = spark.range(len(names)).repartition(24).mapInArrow(vote_batches(shared), "e bigint, vote double").collect()  # a row an example
+    return shared, space, index.fit([(r.e, r.vote) for r in votes]), names
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) for each row of docs."""
-    index, names, _, _, vectors = learned(spark, docs, labels, Scratch(spark))
-    kind = vectors.schema["doc_id"].dataType.simpleString()
-    out = vectors.mapInArrow(score_batches(index, names), f"doc_id {kind}, score double, evidence string")
+    index, space, steps, names = learned(spark, docs, labels, Scratch(spark))
+    rows = keyed(docs).select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    out = rows.mapInArrow(score_batches(index, space, steps, names), f"doc_id {kind}, score double, evidence string")
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that score below the threshold. A second pass over the texts, no shuffle."""
-    index, _, vocabulary, bases, _ = learned(spark, docs, labels, Scratch(spark))
-    return docs.mapInArrow(keep_batches(index, vocabulary, bases), docs.schema)
+    index, space, steps, _ = learned(spark, docs, labels, Scratch(spark))
+    return docs.mapInArrow(keep_batches(index, space, steps), docs.schema)

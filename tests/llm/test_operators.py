@@ -341,6 +341,18 @@ def test_toxicity(spark):
     assert next(x for x in out if x.doc_id == 1002).predicted == 1
 
 
+def test_toxicity_weighs_all_terms(spark):
+    """A word of a single example finds it."""
+    r = random.Random(9)
+    rows = [(i, prose(r, 20) + (f" vilewordx only{i}" if i % 4 == 0 else f" only{i}"), None) for i in range(80)]
+    learn = [i for i in range(80) if B.rem(i, 3) != 1]
+    one = learn[3]
+    rows.append((1000, f"zz only{one}", None))
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.evidence for x in toxicity.score(spark, frame(spark, rows), labels).collect()}
+    assert got[1000].split(",")[0] == str(one)
+
+
 def test_nearest_is_exact():
     r = np.random.default_rng(2)
     terms = [np.sort(r.choice(40, r.integers(1, 8), replace=False)) for _ in range(300)]
