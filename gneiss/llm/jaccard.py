@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -115,9 +116,11 @@ def linked(cls: list[bytes], mult: np.ndarray, side: np.ndarray, column: pa.Arra
         sh, at = tk.shingles(*tk.word_hashes(b, off), WORDS)
         sets += [np.unique(sh[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
     size = np.array([len(s) for s in sets])
+    # decided by integers, so that ties at the threshold count at any length
+    above, below = Fraction(str(threshold)).as_integer_ratio()
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        u, v = (np.array([0]), np.array([1])) if both * (1 + threshold) >= threshold * size.sum() - 1e-9 and side[0] != side[1] | (side.max() == 0) else (np.zeros(0, int), np.zeros(0, int))
+        u, v = (np.array([0]), np.array([1])) if both * (above + below) >= above * size.sum() and side[0] != side[1] | (side.max() == 0) else (np.zeros(0, int), np.zeros(0, int))
     else:
         row = np.repeat(np.arange(len(sets)), size)
         _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -127,14 +130,14 @@ def linked(cls: list[bytes], mult: np.ndarray, side: np.ndarray, column: pa.Arra
         row, col = row[take], name[col[take]]
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        both = np.zeros((len(sets), len(sets)), np.float32)
+        both = np.zeros((len(sets), len(sets)), np.int64)
         wide = 8192
         for c in range(0, int(shared.sum()), wide):
             s, e = np.searchsorted(col, [c, c + wide])
             m = np.zeros((len(sets), min(wide, int(shared.sum()) - c)), np.float32)
             m[row[s:e], col[s:e] - c] = 1
-            both += m @ m.T
-        hit = np.triu(both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-4, 1)
+            both += (m @ m.T).astype(np.int64)
+        hit = np.triu(both * (above + below) >= above * (size[:, None] + size[None, :]), 1)
         if side.max():
             hit &= side[:, None] != side[None, :]
         u, v = np.nonzero(hit)

@@ -216,6 +216,18 @@ def test_jaccard(spark, corpus, monkeypatch, tile):
         assert len(kept) == len(groups) + alone
 
 
+@pytest.mark.parametrize("others", [0, 1])
+def test_jaccard_long_ties(others):
+    """Texts at exactly 0.8 are linked, however long and whatever else is in their cluster."""
+    import pyarrow as pa
+
+    for n in range(1152, 1352, 4):  # shared shingles
+        shared = [f"w{i}" for i in range(n + 4)]
+        texts = [" ".join([*shared, *(f"{x}{i}" for i in range(n // 8))]) for x in "ab"] + ["p q r s t"] * others
+        got = jaccard.linked([bytes([i]) for i in range(len(texts))], np.ones(len(texts), int), np.zeros(len(texts), int), pa.array(texts), 0.8)
+        assert got == [(b"\0", b"\0", 1), (b"\1", b"\0", 1)]
+
+
 def test_forest_recall():
     d = jaccard.prefix_depth(32, 10, 0.8, 0.9995)
     assert jaccard.recall(d, 32, 0.8) >= 0.9995 > jaccard.recall(d + 1, 32, 0.8)
