@@ -157,6 +157,8 @@ def verify_batches(threshold: float):
                 continue
             t = t.take(pa.array(np.sort(first)))
             tile = t.column("tile").to_numpy()
+            if a != b and (tile == tile[0]).all():
+                continue  # links inside a tile are counted in its own group
             out += linked(t.column("cls").to_pylist(), t.column("mult").to_numpy(), (tile != a).astype(int) if a != b else np.zeros(len(tile), int), t.column("text").combine_chunks() if t.column("text").num_chunks > 1 else t.column("text").chunk(0), threshold)
             if len(out) > 10_000:
                 yield emit(out)

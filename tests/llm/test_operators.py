@@ -228,6 +228,19 @@ def test_jaccard_long_ties(others):
         assert got == [(b"\0", b"\0", 1), (b"\1", b"\0", 1)]
 
 
+def test_jaccard_one_tile_of_a_pair():
+    """Rows of one tile only, in a group of two tiles, count nothing again."""
+    import pyarrow as pa
+
+    for n in (2, 3):
+        text = [" ".join(f"w{i}" for i in range(400)) + " x" * k for k in range(n)]
+        links = []
+        for a, b, tile in ((0, 0, 0), (0, 1, 0), (1, 1, 1), (0, 1, 1)):
+            t = pa.table({"cluster": [7] * n, "a": [a] * n, "b": [b] * n, "tile": [tile] * n, "cls": [bytes([k]) for k in range(n)], "mult": [1] * n, "text": text})
+            links.append(sum(sum(x.column("links").to_pylist()) for x in jaccard.verify_batches(0.8)(iter(t.to_batches()))))
+        assert links == [n * (n - 1), 0, n * (n - 1), 0]
+
+
 def test_forest_recall():
     d = jaccard.prefix_depth(32, 10, 0.8, 0.9995)
     assert jaccard.recall(d, 32, 0.8) >= 0.9995 > jaccard.recall(d + 1, 32, 0.8)
