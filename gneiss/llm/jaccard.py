@@ -1,9 +1,9 @@
-"""Near-duplicate documents: a MinHash LSH forest and exact verification.
+"""Near-duplicate documents: banded MinHash LSH and exact verification.
 
-Texts with the same words form a class, which is handled once. Each class has a signature in each of the forest's trees,
-a sequence of minima; the trees are sorted by signature prefixes, and classes that share a prefix in any tree are
-candidates. The prefix starts at the tree's depth and is shortened until pairs at the threshold meet with the target
-recall. Candidates are joined to clusters by star edges, not pairs. In each cluster the sets of shingles are then compared
+Texts with the same words form a class, which is handled once. Each class has a signature in each of TREES bands, of as
+many minima as the target recall allows at the threshold (at most DEPTH; it doesn't depend on the data); classes that share
+a band are candidates. This is not an LSH forest: no signatures are sorted and no prefixes shortened by the data.
+Candidates are joined to clusters by star edges, not pairs. In each cluster the sets of shingles are then compared
 exactly, tile by tile: large clusters are cut into tiles of bounded size, and each pair of tiles is a group of its own.
 A group returns, for each class, its number of links and one edge of a spanning forest; so no hub or clique leaves a task
 as pairs. Shingles are compared as 64-bit hashes.
@@ -43,7 +43,7 @@ def recall(depth: int, trees: int, threshold: float) -> float:
 
 
 def prefix_depth(trees: int, depth: int, threshold: float, target: float) -> int:
-    """Shortens the matched prefix until the target recall is met."""
+    """The longest bands, of this depth at most, that meet the target recall."""
     while depth > 1 and recall(depth, trees, threshold) < target:
         depth -= 1
     return depth
