@@ -15,6 +15,6 @@ def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def line_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, kind, text): a paragraph for each line that isn't blank."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n"), lambda p: F.trim(p)), lambda p: p != "")
     d = docs.select(F.col(key), F.posexplode_outer(parts).alias("pos", "text"))
     return d.filter(F.col("pos").isNotNull()).select(key, "pos", F.lit("para").alias("kind"), "text")
