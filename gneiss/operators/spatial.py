@@ -6,20 +6,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlaps(left: DataFrame, right: DataFrame, by: list[str], tile: float = 100.0) -> DataFrame:
-    """Pairs (by..., l, r) of boxes (id, x0, y0, x1, y1) of one page that overlap. Boxes are dealt to the tiles they touch,
-    so that the join is by equality; a pair counts in the tile of the overlap's corner only."""
+#: Tiles along a side at most, so that no box is dealt to more than the square of that.
+TILES = 64
+
+
+def tile_sizes(boxes: DataFrame) -> tuple[float, float]:
+    """Sides of the tiles: the mean sides of the boxes, so that those who share a tile mostly overlap."""
+    mean = [F.avg(F.col(f"{c}1") - F.col(f"{c}0")) for c in "xy"]
+    span = [(F.max(f"{c}1") - F.min(f"{c}0")) / TILES for c in "xy"]
+    r = boxes.agg(*[F.greatest(m, s).cast("double").alias(c) for m, s, c in zip(mean, span, "xy", strict=True)]).first()
+    return (r.x or 1.0, r.y or 1.0)
+
+
+def overlaps(left: DataFrame, right: DataFrame, by: list[str], tile: tuple[float, float] | None = None, ordered: bool = False) -> DataFrame:
+    """Pairs (by..., l, r) of boxes (id, x0, y0, x1, y1) of one page that overlap; with ordered only those with l < r, for
+    the pairs inside one set. Boxes are dealt to the tiles they touch, so that the join is by equality; a pair counts in
+    the tile of the overlap's corner only."""
+    width, height = tile or tile_sizes(left.unionByName(right) if left is not right else left)
 
     def dealt(d: DataFrame, name: str) -> DataFrame:
-        t = lambda c: F.floor(F.col(c) / tile).cast("long")
-        box = F.struct("id", "x0", "y0", "x1", "y1").alias(name)
-        return d.select(*by, box, F.explode(F.sequence(t("x0"), t("x1"))).alias("tx"), "y0", "y1").select(*by, name, "tx", F.explode(F.sequence(t("y0"), t("y1"))).alias("ty"))
+        box = [F.col(c).alias(f"_{name}_{c}") for c in ("id", "x0", "y0", "x1", "y1")]
+        t = lambda c, size: F.floor(F.col(c) / size).cast("long")
+        tx, ty = F.sequence(t("x0", width), t("x1", width)), F.sequence(t("y0", height), t("y1", height))
+        return d.select(*by, *box, F.explode(tx).alias("_tx"), ty.alias("_ty")).withColumn("_ty", F.explode("_ty"))
 
-    j = dealt(left, "a").join(dealt(right, "b"), [*by, "tx", "ty"])
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    a, b = (lambda c: F.col(f"_a_{c}")), (lambda c: F.col(f"_b_{c}"))
+    j = dealt(left, "a").join(dealt(right, "b").hint("shuffle_hash"), [*by, "_tx", "_ty"])
+    if ordered:
+        j = j.filter(a("id") < b("id"))
     j = j.filter((a("x0") < b("x1")) & (b("x0") < a("x1")) & (a("y0") < b("y1")) & (b("y0") < a("y1")))
-    first = (F.floor(F.greatest(a("x0"), b("x0")) / tile) == F.col("tx")) & (F.floor(F.greatest(a("y0"), b("y0")) / tile) == F.col("ty"))
-    return j.filter(first).select(*by, F.col("a.id").alias("l"), F.col("b.id").alias("r"))
+    first = (F.floor(F.greatest(a("x0"), b("x0")) / width) == F.col("_tx")) & (F.floor(F.greatest(a("y0"), b("y0")) / height) == F.col("_ty"))
+    return j.filter(first).select(*by, a("id").alias("l"), b("id").alias("r"))
 
 
 def body_size(spans: DataFrame, by: list[str]) -> DataFrame:

@@ -36,9 +36,14 @@ def query(sql: str | None = None):
 
 
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it lies; one of fewer splits than cores (a small file of a single row group) is dealt out first."""
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if name in WIDE and d.rdd.getNumPartitions() < cores else d
 
 
+#: Tables of long texts, whose rows cost much more than their shuffle.
+WIDE = {"documents", "pages", "conversations"}
 #: How the oracle splits documents into paragraphs.
 BLOCKS = r"""blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, text FROM (
     SELECT doc_id, i, trim(regexp_replace(p, '\s+', ' ', 'g')) AS text FROM (
@@ -266,7 +271,7 @@ def bbox_overlap_join(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     x, y = F.col("p_partkey") * 37 % 500, F.col("p_partkey") * 91 % 700
     b = p.select(F.col("p_brand").alias("page"), F.col("p_partkey").alias("id"), x.alias("x0"), y.alias("y0"), (x + F.col("p_size") * 2).alias("x1"), (y + 12).alias("y1"))
-    return sp.overlaps(b, b, ["page"]).filter("l < r")
+    return sp.overlaps(b, b, ["page"], ordered=True)
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -291,6 +296,10 @@ def pages(spark, sf_dir):
     return bl.parsed_blocks(table(spark, sf_dir, "pages"), bl.read_html, "page_id", "html")
 
 
+def page_texts(spark, sf_dir):
+    return cd.Texts(table(spark, sf_dir, "pages"), bl.read_html, "html")
+
+
 @query()
 def html_blocks(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", "title", "pos", "kind", "level", "text", F.array_join("items", "|").alias("items"))
@@ -298,8 +307,7 @@ def html_blocks(spark, sf_dir):
 
 @query("""SELECT page_id, '1' AS sid, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '\\s+', ' ', 'g')), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM pages WHERE regexp_matches(html, '<h1')""")
 def section_ids(spark, sf_dir):
-    b = pages(spark, sf_dir)
-    return sc.section_ids(b, "page_id").join(b, ["page_id", "pos"]).select("page_id", "sid", "text")
+    return sc.section_ids(pages(spark, sf_dir), "page_id").select("page_id", "sid", "text")
 
 
 @query()
@@ -323,32 +331,32 @@ def markdown_blocks(spark, sf_dir):
 
 @query()
 def encode_documents(spark, sf_dir):
-    return cd.encode_documents(pages(spark, sf_dir), "page_id")
+    return cd.encode_documents(page_texts(spark, sf_dir), "page_id")
 
 
 @query()
 def decode_documents(spark, sf_dir):
-    return cd.decode_documents(cd.encode_documents(pages(spark, sf_dir), "page_id"), "page_id").select("page_id", "title", "pos", "kind", "level", "text", F.array_join("items", "|").alias("items"))
+    return cd.decode_documents(cd.encode_documents(page_texts(spark, sf_dir), "page_id"), "page_id").select("page_id", "title", "pos", "kind", "level", "text", F.array_join("items", "|").alias("items"))
 
 
 @query("SELECT page_id, CAST(1.0 AS DOUBLE) AS distinct_recall, true AS same_structure FROM pages")
 def roundtrip_fidelity(spark, sf_dir):
-    return cd.roundtrip(pages(spark, sf_dir), "page_id").select("page_id", "distinct_recall", "same_structure")
+    return cd.roundtrip(page_texts(spark, sf_dir), "page_id").select("page_id", "distinct_recall", "same_structure")
 
 
 @query("SELECT page_id, CAST(0 AS INT) AS line, '' AS rule, '' AS detail FROM pages WHERE false")
 def validate_documents(spark, sf_dir):
-    return cd.validate_documents(cd.encode_documents(pages(spark, sf_dir), "page_id"), "page_id")
+    return cd.validate_documents(cd.encode_documents(page_texts(spark, sf_dir), "page_id"), "page_id")
 
 
 @query()
 def token_stats(spark, sf_dir):
-    return cd.token_stats(pages(spark, sf_dir), "page_id").groupBy("format").agg(F.sum("tokens").alias("tokens"))
+    return cd.token_stats(page_texts(spark, sf_dir), "page_id").groupBy("format").agg(F.sum("tokens").alias("tokens"))
 
 
 @query()
 def arm_stats(spark, sf_dir):
-    return cd.arm_stats(pages(spark, sf_dir), "page_id").groupBy("arm").agg(F.sum("tokens").alias("tokens"), F.avg("distinct_recall").alias("distinct_recall"))
+    return cd.arm_stats(page_texts(spark, sf_dir), "page_id").groupBy("arm").agg(F.sum("tokens").alias("tokens"), F.avg("distinct_recall").alias("distinct_recall"))
 
 
 @query()
@@ -365,7 +373,7 @@ def diff_documents(spark, sf_dir):
 
 @query()
 def questions(spark, sf_dir):
-    return qs.question_rows(pages(spark, sf_dir), "page_id")
+    return qs.question_rows(page_texts(spark, sf_dir), "page_id")
 
 
 @query("""SELECT role, CAST(sum(CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS n, avg(CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0.0 END) AS accuracy, avg(len(regexp_extract_all(text, '\\S+'))) AS mean_tokens FROM conversations GROUP BY 1""")
