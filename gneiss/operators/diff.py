@@ -121,13 +121,13 @@ def diff_documents(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataF
     n = n.select(key, F.col("title").alias("nt"), F.col("blocks").alias("nb"), digests(n).alias("nh"))
     j = o.join(n, key, "full")
     status = F.when(F.col("oh").isNull(), "added").when(F.col("nh").isNull(), "removed").when(F.col("oh") == F.col("nh"), "same").otherwise("changed")
-    j = j.withColumn("status", status)
+    sent = lambda c: F.when(status == "changed", F.col(c)).alias(c)  # noqa: E731  blocks of the others stay in the JVM
+    j = j.select(key, status.alias("status"), sent("ot"), sent("ob"), sent("nt"), sent("nb"))
     kind = j.schema[key].dataType.simpleString()
 
     def run(frames):
         for f in frames:
-            rows = [(k, "changed", diff(Document(ot or "", [codec.from_row(x) for x in ob]), Document(nt or "", [codec.from_row(x) for x in nb]))) for k, ot, ob, nt, nb in zip(f[key], f["ot"], f["ob"], f["nt"], f["nb"], strict=True)]
-            yield pd.DataFrame(rows, columns=[key, "status", "diff"])
+            one = lambda s, ot, ob, nt, nb: diff(Document(ot or "", [codec.from_row(x) for x in ob]), Document(nt or "", [codec.from_row(x) for x in nb])) if s == "changed" else ""
+            yield pd.DataFrame({key: f[key], "status": f["status"], "diff": [one(*r) for r in zip(f["status"], f["ot"], f["ob"], f["nt"], f["nb"], strict=True)]})
 
-    changed = j.filter("status = 'changed'").select(key, "ot", "ob", "nt", "nb").mapInPandas(run, f"{key} {kind}, status string, diff string")
-    return j.filter("status <> 'changed'").select(key, "status", F.lit("").alias("diff")).unionByName(changed)
+    return j.mapInPandas(run, f"`{key}` {kind}, status string, diff string")

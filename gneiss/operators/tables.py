@@ -9,41 +9,46 @@ from pyspark.sql import functions as F
 from gneiss.functions import text as tx
 from gneiss.functions.tokens import Counter, chars
 
-MARKED = r"^([$€£¥])?(-?[0-9.]+)(%)?$"
-MARKED_NEGATIVE = r"^(-)([$€£¥])([0-9.]+)$"
+#: Columns of the long form, which no key may be called.
+LONG = ("row", "ci", "col", "value", "code", "mark")
+
+
+def keys(by: list[str]) -> list[str]:
+    """The keys, if they clash with no column of the long form. Columns inside are called _g_ and a name."""
+    if bad := [k for k in by if k in LONG or k.startswith("_g_")]:
+        raise ValueError(f"keys may not be called {', '.join(bad)}")
+    return by
 
 
 def to_cells(df: DataFrame, columns: list[str], by: list[str], order: list[str]) -> DataFrame:
     """One row a cell. The row number is counted inside each table."""
-    row = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    row = F.row_number().over(Window.partitionBy(*keys(by)).orderBy(*order)) - 1
     cells = F.posexplode(F.array(*[F.struct(F.lit(c).alias("col"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in columns]))
-    return df.withColumn("row", row).select(*by, "row", cells.alias("ci", "c")).select(*by, "row", "ci", "c.col", "c.value")
+    return df.withColumn("_g_row", row).select(*by, "_g_row", cells.alias("ci", "_g_c")).select(*by, F.col("_g_row").alias("row"), "ci", "_g_c.col", "_g_c.value")
 
 
 def constant_columns(df: DataFrame, columns: list[str], by: list[str], least_rows: int = 4) -> DataFrame:
     """(by..., col, value): columns with one value, never missing, in tables of enough rows. One pass, partial aggregates."""
-    agg = [F.count("*").alias("n")]
-    for c in columns:
+    agg = [F.count("*").alias("_g_n")]
+    for i, c in enumerate(columns):
         v = F.coalesce(F.col(c).cast("string"), F.lit(""))
-        agg += [F.min(v).alias(f"_lo_{c}"), F.max(v).alias(f"_hi_{c}")]
-    g = df.groupBy(*by).agg(*agg).filter(F.col("n") >= least_rows)
-    found = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"_lo_{c}").alias("value"), (F.col(f"_lo_{c}") == F.col(f"_hi_{c}")).alias("same")) for c in columns]))
-    return g.select(*by, found.alias("f")).filter("f.same and f.value <> ''").select(*by, "f.col", "f.value")
+        agg += [F.min(v).alias(f"_g_lo{i}"), F.max(v).alias(f"_g_hi{i}")]
+    g = df.groupBy(*keys(by)).agg(*agg).filter(F.col("_g_n") >= least_rows)
+    found = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"_g_lo{i}").alias("value"), (F.col(f"_g_lo{i}") == F.col(f"_g_hi{i}")).alias("same")) for i, c in enumerate(columns)]))
+    return g.select(*by, found.alias("_g_f")).filter("_g_f.same and _g_f.value <> ''").select(*by, "_g_f.col", "_g_f.value")
 
 
 def unit_marks(cells: DataFrame, by: list[str], least: int = 3) -> DataFrame:
-    """(by..., col, mark): columns whose values are numbers that all carry the same currency or percent sign."""
-    v = F.col("value")
-    mark = F.coalesce(F.nullif(F.regexp_extract(v, MARKED, 1), F.lit("")), F.nullif(F.regexp_extract(v, MARKED_NEGATIVE, 2), F.lit("")), F.nullif(F.regexp_extract(v, MARKED, 3), F.lit("")))
-    fits = v.rlike(MARKED) | v.rlike(MARKED_NEGATIVE)
-    g = cells.filter(v != "").groupBy(*by, "col").agg(F.count("*").alias("n"), F.bool_and(fits & mark.isNotNull()).alias("all"), F.min(mark).alias("mark"), F.max(mark).alias("other"))
-    return g.filter((F.col("n") >= least) & F.col("all") & (F.col("mark") == F.col("other"))).select(*by, "col", "mark")
+    """(by..., ci, col, mark): columns whose values are numbers that all carry the same currency or percent sign."""
+    mark = tx.mark_of(F.col("value"))
+    g = cells.filter("value <> ''").groupBy(*keys(by), "ci", "col").agg(F.count("*").alias("_g_n"), F.count(mark).alias("_g_m"), F.min(mark).alias("mark"), F.max(mark).alias("_g_other"))
+    return g.filter((F.col("_g_n") >= least) & (F.col("_g_n") == F.col("_g_m")) & (F.col("mark") == F.col("_g_other"))).select(*by, "ci", "col", "mark")
 
 
 def hoist_units(cells: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     """Cells with the mark in the column's name."""
-    marks = unit_marks(cells, by, least)
-    c = cells.join(marks, [*by, "col"], "left")
+    marks = unit_marks(cells, by, least).drop("col")
+    c = cells.join(marks, [*by, "ci"], "left")
     has = F.col("mark").isNotNull()
     bare = F.expr("concat(substring_index(value, mark, 1), substring(value, length(substring_index(value, mark, 1)) + 1 + length(mark)))")
     return c.select(*by, "row", "ci", F.when(has, F.concat("col", F.lit("("), "mark", F.lit(")"))).otherwise(F.col("col")).alias("col"), F.when(has & F.contains("value", "mark"), bare).otherwise(F.col("value")).alias("value"))
@@ -67,21 +72,23 @@ def restore_repeats(df: DataFrame, columns: list[str], by: list[str], order: lis
 
 
 def code_name(n: Column) -> Column:
-    """a..z, aa..zz, aaa..: the n-th code, from 0."""
-    letter = lambda k: F.char((97 + k).cast("int"))
-    two, three = n - 26, n - 26 - 676
-    return (
-        F.when(n < 26, letter(n)).when(n < 702, F.concat(letter(F.floor(two / 26)), letter(two % 26)))
-        .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26)))
-    )
+    """a..z, aa..zz, aaa..: the n-th code, from 0, of any length. Each letter is a digit from 1 to 26."""
+    letters = F.struct((n.cast("long") + 1).alias("rest"), F.lit("").alias("name"))
+    add = lambda a, _: F.when(a["rest"] == 0, a).otherwise(F.struct(F.floor((a["rest"] - 1) / 26).alias("rest"), F.concat(F.char((97 + (a["rest"] - 1) % 26).cast("int")), a["name"]).alias("name")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(9)), letters, add, lambda a: a["name"])
+
+
+def code_place(name: Column) -> Column:
+    """The inverse of code_name."""
+    return F.aggregate(F.split(name, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise(a * 26 + (F.ascii(c) - 96))) - 1
 
 
 def column_profile(cells: DataFrame, by: list[str], count: Counter = chars) -> DataFrame:
-    """(by..., col, n, distinct, widest, before): the facts that decide whether a column is worth codes. Token counts are
-    taken once per different value, not once per cell."""
-    g = cells.filter("value <> ''").groupBy(*by, "ci", "col", "value").agg(F.count("*").alias("k"))
-    g = g.withColumn("t", count(F.col("value")))
-    return g.groupBy(*by, "ci", "col").agg(F.sum("k").alias("n"), F.count("*").alias("distinct"), F.max("t").alias("widest"), F.sum(F.col("k") * F.col("t")).alias("before"))
+    """(by..., ci, col, n, distinct, widest, before): the facts that decide whether a column is worth codes. Token counts
+    are taken once per different value, not once per cell."""
+    g = cells.filter("value <> ''").groupBy(*keys(by), "ci", "col", "value").agg(F.count("*").alias("_g_k"))
+    g = g.withColumn("_g_t", count(F.col("value")))
+    return g.groupBy(*by, "ci", "col").agg(F.sum("_g_k").alias("n"), F.count("*").alias("distinct"), F.max("_g_t").alias("widest"), F.sum(F.col("_g_k") * F.col("_g_t")).alias("before"))
 
 
 def codebooks(cells: DataFrame, by: list[str], count: Counter = chars, least_rows: int = 12, least_saving: int = 40, least_share: float = 0.10) -> DataFrame:
@@ -91,21 +98,21 @@ def codebooks(cells: DataFrame, by: list[str], count: Counter = chars, least_row
     so are names that earlier columns of the table have taken: a column's codes start where those of the paying columns
     before it end, so one window over the different values (never over the rows) replaces a loop over columns.
     """
-    values = cells.filter("value <> ''").groupBy(*by, "ci", "col", "value").agg(F.count("*").alias("k"))
-    values = values.withColumn("t", count(F.col("value")))
-    facts = values.groupBy(*by, "ci").agg(F.sum("k").alias("n"), F.count("*").alias("d"), F.max("t").alias("widest"), F.sum(F.col("k") * F.col("t")).alias("before"), F.sum(F.col("t") + 2).alias("book"))
-    paying = facts.withColumn("saving", F.col("before") - F.col("n") - F.col("book") - 3).filter(
-        (F.col("n") >= least_rows) & (F.col("d") >= 2) & (F.col("d") <= F.greatest(F.lit(1), F.floor(F.col("n") / 3))) & (F.col("widest") >= 2)
-        & (F.col("saving") >= least_saving) & (F.col("saving") >= least_share * F.col("before")))
-    short = cells.select(*by, F.trim("value").alias("name")).filter((F.length("name") <= 3) & F.col("name").rlike("^[a-z]+$")).distinct()
+    values = cells.filter("value <> ''").groupBy(*keys(by), "ci", "col", "value").agg(F.count("*").alias("_g_k"))
+    values = values.withColumn("_g_t", count(F.col("value")))
+    k, t, n, d, before = (F.col(f"_g_{x}") for x in ("k", "t", "n", "d", "before"))
+    facts = values.groupBy(*by, "ci").agg(F.sum(k).alias("_g_n"), F.count("*").alias("_g_d"), F.max(t).alias("_g_widest"), F.sum(k * t).alias("_g_before"), F.sum(t + 2).alias("_g_book"))
+    saving = before - n - F.col("_g_book") - 3
+    pays = (n >= least_rows) & (d >= 2) & (d <= F.greatest(F.lit(1), F.floor(n / 3))) & (F.col("_g_widest") >= 2) & (saving >= least_saving) & (saving >= least_share * before)
+    short = cells.select(*by, F.trim("value").alias("_g_name")).filter((F.length("_g_name") <= 3) & F.col("_g_name").rlike("^[a-z]+$")).distinct()
     inside = Window.partitionBy(*by).orderBy("ci", "value")
-    ranked = values.join(paying.select(*by, "ci"), [*by, "ci"]).withColumn("i", F.row_number().over(inside) - 1)
+    ranked = values.join(facts.filter(pays).select(*by, "ci"), [*by, "ci"]).withColumn("_g_i", F.row_number().over(inside).cast("long") - 1)
     # the i-th free name: the taken ones are few, so each value steps over those at or before its place
-    place = F.when(F.length("name") == 1, F.ascii("name") - 97).when(F.length("name") == 2, 26 + (F.ascii("name") - 97) * 26 + F.ascii(F.substring("name", 2, 1)) - 97).otherwise(702 + (F.ascii("name") - 97) * 676 + (F.ascii(F.substring("name", 2, 1)) - 97) * 26 + F.ascii(F.substring("name", 3, 1)) - 97)
-    taken = short.groupBy(*by).agg(F.array_sort(F.collect_set(place)).alias("taken"))
-    free = F.expr("aggregate(coalesce(taken, cast(array() as array<int>)), i, (a, x) -> if(x <= a, a + 1, a))")
-    ranked = ranked.join(taken, by, "left").withColumn("i", free)
-    return ranked.select(*by, "ci", "col", code_name(F.col("i")).alias("code"), "value")
+    taken = short.groupBy(*by).agg(F.array_sort(F.collect_set(code_place(F.col("_g_name")))).alias("_g_taken"))
+    free = F.expr("aggregate(coalesce(_g_taken, cast(array() as array<bigint>)), _g_i, (a, x) -> if(x <= a, a + 1, a))")
+    same = lambda d: d.withColumn("_g_one", F.lit(1))  # noqa: E731  there may be no keys
+    ranked = same(ranked).join(same(taken), [*by, "_g_one"], "left").withColumn("_g_i", free)
+    return ranked.select(*by, "ci", "col", code_name(F.col("_g_i")).alias("code"), "value")
 
 
 def encode(cells: DataFrame, books: DataFrame, by: list[str]) -> DataFrame:

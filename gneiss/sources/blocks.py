@@ -14,8 +14,11 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 FIELDS = (
     "kind string, level int, text string, items array<string>, ordered boolean, cols array<string>, rows array<array<string>>, caption string, "
@@ -407,18 +410,37 @@ def from_row(r) -> Block:
     )
 
 
+def block_batches(kind: str, name: str):
+    """A function that makes an Arrow batch of (key, title, block) rows."""
+    schema = to_arrow_schema(T._parse_datatype_string(f"`{name}` {kind}, title string, pos int, {FIELDS}"))
+    fields = [x.split(" ")[0] for x in FIELDS.split(", ")]
+
+    def batch(docs: list[tuple]) -> pa.RecordBatch:
+        rows = [(k, d.title, pos, b) for k, d in docs for pos, b in enumerate(d.blocks)]
+        columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
+        columns += [[[{"k": k, "v": v} for k, v in r[3].pairs] for r in rows] if f == "pairs" else [getattr(r[3], f) for r in rows] for f in fields]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return batch
+
+
+#: Documents that are parsed before their blocks are sent on.
+AT_ONCE = 200
+
+
 def parsed_blocks(docs: DataFrame, parse: Callable[[str, str], Document], key: str, text: str) -> DataFrame:
     """(key, title, pos, ...): the blocks of each document, by one of the readers."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(frames):
-        for f in frames:
-            rows = [r for k, t in zip(f[key], f[text], strict=True) for r in block_rows(k, parse(t or "", ""))]
-            if rows:
-                out = pd.DataFrame(rows).rename(columns={"key": key})
-                yield out[[key, "title", "pos", *[x.split(" ")[0] for x in FIELDS.split(", ")]]]
+    made = block_batches(kind, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in range(0, len(keys), AT_ONCE):
+                yield made([(k, parse(t or "", "")) for k, t in zip(keys[i : i + AT_ONCE], texts[i : i + AT_ONCE], strict=True)])
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, title string, pos int, {FIELDS}")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, title string, pos int, {FIELDS}")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
