@@ -142,7 +142,7 @@ def part_cells(spark, sf_dir):
     SELECT p_brand, col, min(m) AS mark FROM (SELECT *, coalesce(nullif(regexp_extract(value, '^([$€£¥])?(-?[0-9.]+)(%)?$', 1), ''), nullif(regexp_extract(value, '^([$€£¥])?(-?[0-9.]+)(%)?$', 3), '')) AS m FROM c)
     GROUP BY 1, 2 HAVING count(*) >= 3 AND count(m) = count(*) AND min(m) = max(m)""")
 def unit_marks(spark, sf_dir):
-    return tb.unit_marks(part_cells(spark, sf_dir), ["p_brand"])
+    return tb.unit_marks(part_cells(spark, sf_dir), ["p_brand"]).drop("ci")
 
 
 @query("""WITH c AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS r, p_size FROM part), ok AS (SELECT p_brand, count(*) >= 3 AS has, count(*) FILTER (p_size % 7 = 0) = 0 AND count(*) >= 3 AS pct FROM part GROUP BY 1)
