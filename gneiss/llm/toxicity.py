@@ -7,7 +7,7 @@ difference between the labels of the sample: no term is left out, telling ones w
 document's terms that no example has would only stretch its own vector, by which neither the order of its neighbours nor
 the shares of their votes change, so that they need no weights. All cosines are found exactly: terms of many examples by
 matrix products, the others by their postings. Neighbours vote with their cosine as weight, each label weighing as much as
-it has in the table. A monotone fit of left-out votes of the examples to their labels turns votes into scores. Documents
+it has among the labels that are learned from. A monotone fit of left-out votes of the examples to their labels turns votes into scores. Documents
 without any of the terms get the share of toxic examples among their like.
 
 A null text is empty; an empty text gets a score too. Labels that repeat count once (toxic if any says so); rows without a
@@ -278,8 +278,8 @@ def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Sc
     """The index and its space (both broadcast), the steps of its fit, and its examples' ids."""
     rows, sc = keyed(docs), spark.sparkContext
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    share = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     learn = labels.filter(remainder(F.col("doc_id"), 3) != 1)
+    share = {r.toxic: r.n for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     place = F.xxhash64(F.lit(7), "doc_id")
     sample = learn.filter("toxic = 1").orderBy(place, "doc_id").limit(EXAMPLES).unionByName(learn.filter("toxic = 0").orderBy(place, "doc_id").limit(EXAMPLES))
     sample = scratch.write(sample)  # 2 * EXAMPLES rows at most

@@ -366,6 +366,16 @@ def test_toxicity(spark):
     assert next(x for x in out if x.doc_id == 1002).predicted == 1
 
 
+def test_toxicity_learns_from_no_held_out_label(spark):
+    """Other labels of held-out rows change no score."""
+    r = random.Random(12)
+    rows = [(i, prose(r, 30) + (" vilewordx" if i % 3 == 0 else ""), None) for i in range(120)]
+    first = [(i, 1, int(i % 3 == 0)) for i in range(120)]
+    other = [(i, q, 1 - t if B.rem(i, 3) == 1 else t) for i, q, t in first]
+    got = [sorted((x.doc_id, x.score, x.evidence) for x in toxicity.score(spark, frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()) for labels in (first, other)]
+    assert got[0] == got[1]
+
+
 def test_toxicity_weighs_all_terms(spark):
     """A word of a single example finds it."""
     r = random.Random(9)
