@@ -1,14 +1,12 @@
-"""What the operators of this subpackage share: scratch tables, row keys, words and components."""
+"""What the operators of this subpackage share: row keys, words and components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.sources.scratch import Scratch, shared_dir  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Words in the sense of the word shingles and windows: digits, letters a-z and all beyond ASCII.
@@ -19,45 +17,6 @@ K = ["_k1", "_k2"]
 EDGES_A_FILE = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="gneiss-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Tables in the shared folder. They cut lineage, outlive lost executors and go when the driver ends or drop() is called."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/gneiss-{uuid.uuid4().hex}"
-        self.n = 0
-        atexit.register(self.drop)
-
-    def write(self, df: DataFrame) -> DataFrame:
-        """Writes the frame and returns it as read back."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Deletes these tables, or all."""
-        try:
-            jvm = self.spark._jvm
-            conf = self.spark._jsc.hadoopConfiguration()
-            for p in [f._scratch_path for f in frames] or [self.root]:
-                path = jvm.org.apache.hadoop.fs.Path(p)
-                path.getFileSystem(conf).delete(path, True)
-        except Exception:  # noqa: BLE001  the session may be gone; what is left is only scratch
-            if frames:
-                raise
-
-
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, text (null: empty) and a row key made from both; rows that agree in both share it."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
