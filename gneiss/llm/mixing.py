@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each document has a size and a pseudo-random place (a hash of its id and text). Sizes are summed by source and hash
+Each document has a size and a pseudo-random place (the first 60 bits of the MD5 of its id and text). Sizes are summed by source and hash
 bucket; running sums give the bucket in which a source's budget ends. Only that bucket is split further, level by level,
 until it holds one place. Then a filter on the place decides; documents are never sorted.
 
@@ -19,7 +19,8 @@ from gneiss.llm.common import RUN, Scratch
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
 LEVEL_BITS = 12
-LEVELS = 5  # 60 of the 64 bits; what still shares a bucket is one place for all purposes
+LEVELS = 5
+BITS = LEVEL_BITS * LEVELS  # of a place
 
 
 def targets(scratch: Scratch, totals: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -30,12 +31,10 @@ def targets(scratch: Scratch, totals: DataFrame, weights=WEIGHTS, cap: float = C
     """
     part = totals.select("source", "source_size").repartitionByRange(F.col("source").isNull(), F.col("source"))
     part = scratch.write(part.withColumn("p", F.spark_partition_id()))
-    counts = {r.p: r.n for r in part.groupBy("p").agg(F.count("*").alias("n")).collect()}  # one row a partition
-    before, at = {}, 0
-    for p in sorted(counts):
-        before[p], at = at, at + counts[p]
-    offset = F.coalesce(*[F.when(F.col("p") == p, F.lit(n)) for p, n in before.items()], F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("p").orderBy(F.col("source").isNull(), "source")) - 1 + offset
+    counts = scratch.write(part.groupBy("p").agg(F.count("*").alias("n")))  # a row a partition
+    offset = counts.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
+    part = part.join(F.broadcast(offset), "p")
+    rank = F.row_number().over(Window.partitionBy("p").orderBy(F.col("source").isNull(), "source")) - 1 + F.col("before")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights) + 1).cast("int"))
     ranked = scratch.write(part.select("source", "source_size", w.alias("w")))
     most = F.col("source_size") * cap
@@ -54,13 +53,14 @@ def sized(docs: DataFrame) -> DataFrame:
     """The size and the place of each document."""
     text = F.col("text").cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(RUN)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(17), F.col("doc_id"), text).alias("place"))
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
+    return docs.select("doc_id", "source", size.alias("size"), F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long").alias("place"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: how many words the mix takes of each document."""
     scratch = Scratch(spark)
-    sizes = scratch.write(sized(docs).withColumn("bucket", F.shiftrightunsigned("place", 64 - LEVEL_BITS)))
+    sizes = scratch.write(sized(docs).withColumn("bucket", F.shiftrightunsigned("place", BITS - LEVEL_BITS)))
     totals = scratch.write(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     goal = scratch.write(
         targets(scratch, totals, weights, cap)
@@ -70,7 +70,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: float = CAP)
     # edge: the bucket of this level in which the rest of the budget ends, and what is still needed from inside it
     edge = goal.select("source", F.lit(0).cast("long").alias("prefix"), "need")
     for level in range(LEVELS):
-        shift = 64 - LEVEL_BITS * (level + 1)
+        shift = BITS - LEVEL_BITS * (level + 1)
         here = sizes.alias("s")
         if level:
             e = F.broadcast(edge) if edge.count() <= 100_000 else edge
@@ -91,7 +91,6 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: float = CAP)
     small = F.broadcast(at) if at.count() <= 100_000 else at
     out = sizes.alias("d").join(small.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
     code = F.shiftrightunsigned("place", last)
-    # unsigned order is the order of the shifted value, which is never negative
     below = F.coalesce(code < F.col("prefix"), F.col("need") > 0)
     tie = F.coalesce(code == F.col("prefix"), F.lit(False))
     out = out.select("d.doc_id", "d.source", "size", "place", "source_size", "target", "whole", "left", below.alias("below"), tie.alias("tie"))

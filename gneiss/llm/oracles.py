@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gneiss.llm import chat, licenses
-from gneiss.llm.common import LOWER, UPPER, WORD
+from gneiss.llm.common import LOWER, RUN, UPPER, WORD
 
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
@@ -56,6 +56,19 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(coalesce(role, '') || chr(
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
 
 
+#: Sources in the order of what share of their weight their cap allows: those before the first that stays below it are capped.
+MIXING = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{RUN}')) AS BIGINT) AS size,
+    substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS place FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+r AS (SELECT *, CAST(([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, 3e0 * source_size AS most FROM t),
+o AS (SELECT *, row_number() OVER x AS k, sum(most) OVER x - most AS capped, sum(w) OVER () - sum(w) OVER x + w AS rest, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM r WINDOW x AS (ORDER BY most / w, source ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT min_by((total - capped) / rest, k) AS unit FROM o WHERE w * ((total - capped) / rest) <= most),
+g AS (SELECT source, source_size, least(w * unit, most) AS target FROM r, u),
+h AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0e0 END AS whole FROM g),
+p AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS need, sum(size) OVER (PARTITION BY d.source ORDER BY place) AS through,
+    sum(size) OVER (PARTITION BY d.source, place) AS n, row_number() OVER (PARTITION BY d.source, place) AS i FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN through < need THEN 1 WHEN size > 0 AND through - n < need AND i <= round((need - (through - n)) / size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p"""
+
 JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
@@ -68,6 +81,7 @@ SELECT doc_id, coalesce(k, 0) AS n_links, component_id, doc_id = component_id AS
 ORACLES = {
     "op1_embedding_dedup": EMBEDDINGS,
     "op2_decontamination": DECONTAMINATION,
+    "op3_mixing": MIXING,
     "op5_license_scan": _licenses(),
     "op6_chat_format": _chat(),
     "op9_jaccard_join": JACCARD,
