@@ -26,7 +26,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     w = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).filter(F.size("w") > 0)
     w = w.withColumn("len", F.least(F.size("w"), F.lit(n)))
     w = w.withColumn("g", F.explode_outer(F.expr("transform(sequence(0, size(w) - len), i -> slice(w, i + 1, len))")))
-    return w.groupBy(F.xxhash64("g").alias("h"), F.array_join("g", " ").alias("gram"), "len").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return w.groupBy(F.xxhash64(F.transform("g", lambda x: F.xxhash64(x))).alias("h"), F.array_join("g", " ").alias("gram"), "len").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = N) -> tuple[DataFrame, Scratch]:
@@ -36,14 +36,20 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = N)
     stats = grams.groupBy("len").agg(F.count("*").alias("n")).orderBy("len").collect()  # n rows at most
     lens = [r.len for r in stats]
     d = keyed(docs).withColumn("w", words(F.col("text"))).drop("text")
-    # one array a document: a null for the document itself, then its windows of each length
-    hashes = [f"if(size(w) >= {k}, transform(sequence(1, size(w) - {k - 1}), i -> xxhash64(slice(w, i, {k}))), array())" for k in lens]
-    d = d.withColumn("hs", F.expr(f"concat(array(cast(null as bigint)), {', '.join(hashes)})" if lens else "array(cast(null as bigint))"))
-    d = d.select("doc_id", *K, "w", F.size("w").alias("n_words"), F.posexplode_outer("hs").alias("pos", "h"))
+    # one array a document: a null for the document itself, then its windows of each length. Words are hashed once and
+    # windows made from these hashes by their places; slices would copy the whole array for each window
+    hashes = [f"if(size(x) >= {k}, transform(sequence(0, size(x) - {k}), i -> xxhash64({', '.join(f'x[i + {j}]' for j in range(k))})), array())" for k in lens]
+    hashes = f"transform(array(transform(w, y -> xxhash64(y))), x -> concat(array(cast(null as bigint)), {', '.join(hashes)}))[0]" if lens else "array(cast(null as bigint))"
     small = grams.select(F.col("h").alias("gh"), "gram", "len", "items")
+    counted = d.select("doc_id", *K, "w", F.size("w").alias("n_words"))
     if sum(r.n for r in stats) <= BROADCAST_WINDOWS:
-        small = F.broadcast(small)
-    d = d.join(small, F.col("h") == F.col("gh"), "left").filter("pos = 0 or gh is not null")
+        d = counted.withColumn("hs", F.expr(hashes)).select("doc_id", *K, "w", "n_words", F.posexplode_outer("hs").alias("pos", "h"))
+        d = d.join(F.broadcast(small), F.col("h") == F.col("gh"), "left").filter("pos = 0 or gh is not null")
+    else:  # only keys, places and hashes are shuffled; words meet the windows found
+        places = d.select(*K, F.posexplode(F.expr(hashes)).alias("pos", "h")).filter("pos > 0")
+        found = scratch.write(places.join(small, F.col("h") == F.col("gh")).select(*K, "pos", "gh", "gram", "len", "items").dropDuplicates([*K, "pos", "gram"]))
+        own = counted.select("*", F.lit(0).alias("pos"), *[F.lit(None).cast(t).alias(c) for c, t in (("gh", "bigint"), ("gram", "string"), ("len", "int"), ("items", "array<string>"))])
+        d = counted.join(found, K).unionByName(own)
     start, before = F.lit(None).cast("int"), F.lit(0)
     for k in lens:  # pos counts through the lengths in turn
         start = F.when(F.col("len") == k, F.col("pos") - before).otherwise(start)
