@@ -26,6 +26,17 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each changed until no column of the frame is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

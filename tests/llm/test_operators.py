@@ -147,9 +147,25 @@ def test_pii_bootstrap(spark):
     assert all(got[50 + i] == 1 for i in range(3)) and all(got[80 + i] == 0 for i in range(5))
     out = pii.redact(spark, frame(spark, [*rows, (90, "mail a@b.co, +1 (555) 123-4567.", None), (91, None, None)]))
     text = {x.doc_id: (x.text, x.n_chars) for x in out.collect()}
+    assert all((x._k1, x.h) == ("x", "y") for x in out.collect())
+    clash = frame(spark, rows).withColumns({"_p1": F.lit(1), "_spans": F.lit(2)})
+    assert all((x._p1, x._spans) == (1, 2) for x in pii.redact(spark, clash).collect())
     assert text[90] == ("mail [EMAIL], [PHONE].", 22) and text[91][0] is None and "ZX-1000" not in text[50][0] and out.columns[0] == "doc_id"
 
 
+def test_pii_found_instances_bring_patterns(spark):
+    """Tokens of an unseen shape are found by a seeded pattern and bring in a second one, which finds a third shape; a list
+    with one-word keys is a pattern as well."""
+    r = random.Random(6)
+    key = lambda: "%040x" % r.getrandbits(160)
+    far = prose(r, 40)  # context lies in the words next to the token, whatever stands before
+    rows = [(i, f"{far} access code: {key()} end", None) for i in range(6)]
+    rows += [(20 + i, f"{far} access code: QX-{100 + i}-Z end", None) for i in range(4)] + [(30 + i, f"{far} badge no. QX-{100 + i}-Z end", None) for i in range(4)]
+    rows += [(40, f"{far} badge no. 77/ab/9001 end", None), (50, "token: " + " token: ".join([key(), key(), key(), key(), key(), key(), "Y12345"]), None)]
+    got = {x.doc_id: x.n_new for x in pii.report(spark, frame(spark, rows)).collect()}
+    assert got[20] == 1 and got[30] == 1 and got[40] == 1 and got[50] >= 5
+
+
 def test_pii_support_does_not_grow(spark):
     """Three seeds make a pattern among 7,000 others as well."""
     r = random.Random(4)
@@ -213,7 +229,9 @@ def test_jaccard(spark, corpus, monkeypatch, tile):
         kept = jaccard.keep_one(spark, frame(spark, rows)).collect()
         groups = {c for (_, n, c) in want if n}
         alone = sum(1 for _, n, _ in want if not n)
-        assert len(kept) == len(groups) + alone
+        assert len(kept) == len(groups) + alone and all(x._k1 == "x" for x in kept)
+        clash = jaccard.keep_one(spark, frame(spark, rows).withColumns({"_p1": F.lit(1), "_again": F.lit("z")})).collect()
+        assert len(clash) == len(kept) and all((x._p1, x._again) == (1, "z") for x in clash)
 
 
 @pytest.mark.parametrize("others", [0, 1])
@@ -313,7 +331,7 @@ def test_forward_is_exact():
     codes, off = np.concatenate(seqs), np.concatenate(([0], np.cumsum(length)[:-1]))
     order = next(hmm.stretches(length))
     x, at = hmm.laid(codes, off[order], length[order])
-    like, _, _ = hmm.forward(x, at, pi, a, b, False)
+    like = hmm.forward(x, at, pi, a, b)
 
     def brute(s):
         p = 0.0
@@ -332,6 +350,28 @@ def test_forward_is_exact():
         pi, a, b, before = f / f.sum(), m / m.sum(1, keepdims=True), (o + 1e-12) / (o + 1e-12).sum(0), total
 
 
+def test_expected_counts_are_exact():
+    """Against sums over all paths, for blocks of any length."""
+    r = np.random.default_rng(5)
+    pi, a, b = r.dirichlet([1] * 2), r.dirichlet([1] * 2, 2), r.dirichlet([1] * 4, 2).T
+    seqs = sorted((r.integers(0, 4, n) for n in (7, 5, 5, 1)), key=len, reverse=True)
+    first, moves, out = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
+    for s in seqs:
+        paths = list(np.ndindex(*[2] * len(s)))
+        p = np.array([pi[q[0]] * b[s[0], q[0]] * np.prod([a[x, y] * b[c, y] for x, y, c in zip(q, q[1:], s[1:])]) for q in paths])  # noqa: B905
+        for q, w in zip(paths, p / p.sum(), strict=True):
+            first[q[0]] += w
+            for i, c in enumerate(s):
+                out[c, q[i]] += w
+                if i:
+                    moves[q[i - 1], q[i]] += w
+    length = np.array([len(s) for s in seqs])
+    x, at = hmm.laid(np.concatenate(seqs), np.concatenate(([0], np.cumsum(length)[:-1])), length)
+    for block in (1, 2, 3, 5, 100):
+        f, m, o, _ = hmm.expected(x, at, pi, a, b, block)
+        assert np.allclose(f, first) and np.allclose(m, moves) and np.allclose(o, out)
+
+
 @pytest.mark.parametrize("frequent", [400_000, 20])
 def test_lm_scores(spark, corpus, monkeypatch, frequent):
     monkeypatch.setattr(hmm, "FREQUENT", frequent)
