@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import tokens as tk
-from gneiss.llm.common import K, Scratch, components, keyed
+from gneiss.llm.common import K, Scratch, components, keyed, unused
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -220,11 +220,11 @@ def link_documents(spark: SparkSession, docs: DataFrame, threshold: float = THRE
 def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each component, with all columns; texts without words stay."""
     scratch = Scratch(spark)
+    p1, p2, again_ = unused(docs, "p1", "p2", "again")
     rows, classes = link_classes(scratch, docs, threshold)
-    lead = classes.select(F.col("lead._k1").alias("_p1"), F.col("lead._k2").alias("_p2")).distinct().withColumn("_one", F.lit(1))
-    again = rows.groupBy(*[F.col(k).alias("_p" + k[-1]) for k in K]).agg(F.count("*").alias("_m"), F.max(F.col("cls").isNull().cast("int")).alias("_none"))
-    stay = scratch.write(again.join(lead, ["_p1", "_p2"], "left").filter("_one is not null or _none = 1").select("_p1", "_p2", ((F.col("_m") > 1) & (F.col("_none") == 0)).alias("_again")))
+    lead = classes.select(F.col("lead._k1").alias(p1), F.col("lead._k2").alias(p2)).distinct().withColumn("one", F.lit(1))
+    copies = rows.groupBy(F.col("_k1").alias(p1), F.col("_k2").alias(p2)).agg(F.count("*").alias("m"), F.max(F.col("cls").isNull().cast("int")).alias("none"))
+    stay = copies.join(lead, [p1, p2], "left").filter("one is not null or none = 1").select(p1, p2, ((F.col("m") > 1) & (F.col("none") == 0)).alias(again_))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.withColumns({"_k1": F.xxhash64(F.col("doc_id"), text), "_k2": F.hash(text, F.col("doc_id"))})
-    d = d.join(stay.hint("merge"), (F.col("_k1") == F.col("_p1")) & (F.col("_k2") == F.col("_p2")))
-    return d.filter("not _again").unionByName(d.filter("_again").dropDuplicates(K)).select(*docs.columns)
+    d = docs.join(scratch.write(stay).hint("merge"), (F.xxhash64(F.col("doc_id"), text) == F.col(p1)) & (F.hash(text, F.col("doc_id")) == F.col(p2)))
+    return d.filter(~F.col(again_)).unionByName(d.filter(again_).dropDuplicates([p1, p2])).select(*[F.col(f"`{c}`") for c in docs.columns])
