@@ -4,8 +4,8 @@ All training documents are counted. The WORDS most frequent tokens emit as thems
 ENDINGS classes, by its last two bytes, times its share of the class, in which one unknown token has half a count. So the
 model gives every text a proper probability. Each round of Baum-Welch runs over all training documents: partitions send
 expected counts, a row for each symbol, which are added up in a shuffle; the new parameters are broadcast. A text's score is
-the exact scaled forward likelihood over its whole sequence, however long; only in training are sequences cut, into
-stretches of SEGMENT tokens, so that a stretch's memory is bounded.
+the exact scaled forward likelihood over its whole sequence, however long; training counts whole sequences too, and keeps
+forward values of SEGMENT tokens at a time, so that its memory is bounded.
 
 Counts of tokens: the most frequent (FREQUENT at most) are broadcast; the others meet their documents in a join.
 
@@ -132,37 +132,70 @@ def laid(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.
     return values[start[seq] + time], at
 
 
-def forward(codes: np.ndarray, at: np.ndarray, pi: np.ndarray, a: np.ndarray, b: np.ndarray, keep: bool) -> tuple:
-    """Natural log likelihood of each sequence; scaled forward values and scales, if they are to be kept."""
+def forward(codes: np.ndarray, at: np.ndarray, pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Natural log likelihood of each sequence, by scaled forward values."""
     n = int(at[1]) if len(at) > 1 else 0
-    like, alphas, scales = np.zeros(n), np.empty((at[-1] if keep else 0, len(pi))), np.empty(at[-1] if keep else 0)
-    x = np.broadcast_to(pi, (n, len(pi)))
+    like, x = np.zeros(n), np.broadcast_to(pi, (n, len(pi)))
     for t in range(len(at) - 1):
         s, e = at[t], at[t + 1]
         x = (x[: e - s] @ a if t else x) * b[codes[s:e]]
         c = x.sum(1)
         x = x / c[:, None]
         like[: e - s] += np.log(c)
-        if keep:
-            alphas[s:e], scales[s:e] = x, c
-    return like, alphas, scales
-
-
-def expected(codes: np.ndarray, at: np.ndarray, pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
-    """Expected first states, transitions and emissions, and the log likelihood."""
-    like, alpha, scale = forward(codes, at, pi, a, b, True)
-    beta = np.ones_like(alpha)
-    out = b[codes] / scale[:, None]
-    for t in range(len(at) - 2, 0, -1):
+    return like
+
+
+def expected(codes: np.ndarray, at: np.ndarray, pi: np.ndarray, a: np.ndarray, b: np.ndarray, block: int | None = None) -> tuple:
+    """Expected first states, transitions and emissions, and the log likelihood, of whole sequences.
+
+    The forward pass keeps its values where a block of so many times begins; the backward pass makes those inside a block
+    again from there, so that the memory follows the block and not the length.
+    """
+    block = block or SEGMENT
+    times, k = len(at) - 1, len(pi)
+    n = int(at[1]) if times else 0
+    like, x = np.zeros(n), np.broadcast_to(pi, (n, k))
+    marks = []
+    for t in range(times):
+        if t % block == 0:
+            marks.append(x)
         s, e = at[t], at[t + 1]
-        beta[at[t - 1] : at[t - 1] + e - s] = (out[s:e] * beta[s:e]) @ a.T
-    gamma = alpha * beta
-    size = np.diff(at)
-    later = np.arange(at[1], at[-1])
-    previous = later - np.repeat(size[:-1], size[1:])
-    moves = a * (alpha[previous].T @ (out[later] * beta[later]))
-    emit_ = np.stack([np.bincount(codes, gamma[:, s], len(b)) for s in range(len(pi))], 1)
-    return gamma[: at[1]].sum(0), moves, emit_, like.sum()
+        x = (x[: e - s] @ a if t else x) * b[codes[s:e]]
+        c = x.sum(1)
+        x = x / c[:, None]
+        like[: e - s] += np.log(c)
+    first, moves, out = np.zeros(k), np.zeros((k, k)), np.zeros((len(b), k))
+    ahead = np.zeros((0, k))  # emissions times backward values at the time after the block
+    for m in range(len(marks) - 1, -1, -1):
+        t0, t1 = m * block, min((m + 1) * block, times)
+        begin, end = at[t0], at[t1]
+        alpha, scale, x = np.empty((end - begin, k)), np.empty(end - begin), marks[m]
+        for t in range(t0, t1):
+            s, e = at[t], at[t + 1]
+            x = (x[: e - s] @ a if t else x) * b[codes[s:e]]
+            c = x.sum(1)
+            x = x / c[:, None]
+            alpha[s - begin : e - begin], scale[s - begin : e - begin] = x, c
+        beta = np.ones_like(alpha)
+        emit_ = b[codes[begin:end]] / scale[:, None]
+        for t in range(t1 - 1, t0 - 1, -1):
+            s = at[t] - begin
+            if t < t1 - 1:
+                u, v = at[t + 1] - begin, at[t + 2] - begin
+                ahead = emit_[u:v] * beta[u:v]
+            beta[s : s + len(ahead)] = ahead @ a.T
+            if t == t1 - 1:
+                moves += alpha[s : s + len(ahead)].T @ ahead
+        later = np.arange(at[t0 + 1] - begin, end - begin)
+        size = np.diff(at[t0 : t1 + 1])
+        previous = later - np.repeat(size[:-1], size[1:])
+        moves += alpha[previous].T @ (emit_[later] * beta[later])
+        gamma = alpha * beta
+        out += np.stack([np.bincount(codes[begin:end], gamma[:, s], len(b)) for s in range(k)], 1)
+        if not t0:
+            first = gamma[:n].sum(0)
+        ahead = emit_[: at[t0 + 1] - begin] * beta[: at[t0 + 1] - begin]
+    return first, a * moves, out, like.sum()
 
 
 def train_batches(shared):
@@ -175,12 +208,8 @@ def train_batches(shared):
             raw, off = tk.buffers(batch.column("codes"))
             codes, off = raw[off[0] : off[-1]].view(np.uint16), (off - off[0]) // 2
             n = np.diff(off)
-            pieces = -(-n // SEGMENT)
-            k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = np.repeat(off[:-1], pieces) + k * SEGMENT
-            length = np.minimum(SEGMENT, np.repeat(off[1:], pieces) - start)
-            for part in stretches(length):
-                x, at = laid(codes, start[part], length[part])
+            for part in stretches(n):
+                x, at = laid(codes, off[:-1][part], n[part])
                 f, m, o, _ = expected(x, at, pi, a, b)
                 first, moves, out = first + f, moves + m, out + o
         rows = np.concatenate((moves[::-1], first[None], out))
@@ -200,7 +229,7 @@ def likelihood_batches(shared, norms):
             n, like, ends = np.diff(off), np.zeros(len(off) - 1), np.zeros(len(off) - 1)
             for part in stretches(n):
                 x, at = laid(codes, off[:-1][part], n[part])
-                like[part] = forward(x, at, pi, a, b, False)[0]
+                like[part] = forward(x, at, pi, a, b)
             endings = np.flatnonzero(codes > WORDS)
             share = np.concatenate(([0.0], np.cumsum(norms.value[codes[endings] - 1 - WORDS])))
             cut = np.searchsorted(endings, off)
