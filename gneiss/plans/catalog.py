@@ -17,33 +17,12 @@ from gneiss.operators import spatial as sp
 from gneiss.operators import tables as tb
 from gneiss.operators import tiering as ti
 from gneiss.plans import codec as cd
+from gneiss.plans import forms  # noqa: F401  registers its queries
+from gneiss.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from gneiss.sources import blocks as bl
 from gneiss.sources import text as src
 from gneiss.streaming import windows as sw
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark, sf_dir, name):
-    """A table as it lies; one of fewer splits than cores (a small file of a single row group) is dealt out first."""
-    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return d.repartition(cores) if name in WIDE and d.rdd.getNumPartitions() < cores else d
-
-
-#: Tables of long texts, whose rows cost much more than their shuffle.
-WIDE = {"documents", "pages", "conversations"}
 #: How the oracle splits documents into paragraphs.
 BLOCKS = r"""blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, text FROM (
     SELECT doc_id, i, trim(regexp_replace(p, '\s+', ' ', 'g')) AS text FROM (
