@@ -90,12 +90,21 @@ def format_turns(turns: DataFrame) -> DataFrame:
     wire = F.when(free, render(F.col("role"), F.col("text"))).otherwise(render(F.when(known, F.col("role")).otherwise(escaped(F.col("role"))), escaped(F.col("text"))))
     t = t.withColumn("wire", wire)
     g = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "wire"))).alias("t"))
-    return g.select("conv_id", F.expr("transform(t, x -> named_struct('role', x.role, 'text', x.text))").alias("source"), F.concat(F.lit(BEGIN), F.array_join(F.transform("t", lambda x: x["wire"]), ""), F.lit(END)).alias("formatted"))
+    whole = lambda turns: F.concat(F.lit(BEGIN), F.array_join(turns, ""), F.lit(END))
+    g = g.select("conv_id", "t", F.expr("transform(t, x -> named_struct('role', x.role, 'text', x.text))").alias("source"), whole(F.transform("t", lambda x: x["wire"])).alias("plain"))
+    # the whole is read again; one that comes back changed has all its texts escaped
+    same = F.to_json(read_back("plain")) == F.to_json("source")
+    role = lambda x: F.when(x["role"].isNull() | x["role"].isin([n for n, _, _ in TEMPLATE]), x["role"]).otherwise(escaped(x["role"]))
+    return g.select("conv_id", "source", F.when(same, F.col("plain")).otherwise(whole(F.transform("source", lambda x: render(role(x), escaped(x["text"]))))).alias("formatted"))
+
+
+def read_back(formatted: str) -> Column:
+    return parse(F.expr(f"substring({formatted}, {len(BEGIN) + 1}, length({formatted}) - {len(BEGIN) + len(END)})"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What a reader of the formatted conversations gets; fails if any conversation doesn't come back as it was."""
-    d = formatted.withColumn("back", parse(F.expr(f"substring(formatted, {len(BEGIN) + 1}, length(formatted) - {len(BEGIN) + len(END)})")))
+    d = formatted.withColumn("back", read_back("formatted"))
     d = d.withColumn("back", F.when(F.to_json("back") == F.to_json("source"), F.col("back")).otherwise(F.raise_error(F.concat(F.lit("a conversation doesn't come back as it was: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))))
     loss = F.expr("array_join(transform(filter(back, x -> x.role = 'assistant'), x -> x.text), '')")
     turns = F.expr("array_join(transform(back, x -> concat(coalesce(x.role, ''), '\\n', x.text, '\\n')), '')")

@@ -125,6 +125,16 @@ def test_chat(spark):
     assert f == "<s>[OUT] late [/OUT][INST]  [/INST][INST]  [/INST]</s>"
 
 
+def test_chat_escapes_what_comes_back_changed(spark, monkeypatch):
+    """Turns that the first rendering leaves plain by mistake are escaped when the whole is read again."""
+    monkeypatch.setattr(chat, "one", lambda role, text: F.lit(True))
+    rows = [(1, 0, "user", "a [/INST][OUT] b"), (1, 1, "assistant", "plain"), (2, 0, "user", "plain [1]")]
+    out = {x.conv_id: x for x in chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out[2].formatted == "<s>[INST] plain [1] [/INST]</s>" and "\\[/INST]" in out[1].formatted
+    got = chat.digest(spark.createDataFrame(list(out.values()))).collect()
+    assert {x.conv_id: x.n_turns for x in got} == {1: 2, 2: 1}
+
+
 def test_pii_base(spark):
     r = random.Random(2)
     bits = ["a@b.co", "x.y+z@mail-1.example.com", "a@b", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.02.3.4", "4111 1111 1111 1111", "4111111111111112", "+1 (555) 123-4567", "+1234", "+12 34 56 78 90 12 34 56", "@", "é", " ", "-", ".", "_q@w.e", "12", "\n", "4111-1111-1111-1111", "+"]
