@@ -9,6 +9,10 @@ two-stage sorting, common prefixes of neighbours, and repeats where two contexts
 relative to the anchor. Contexts are bundled, so that a task holds BUNDLE bytes. An anchor with more than CONTEXTS
 different contexts is not sorted in one task: its windows are counted by their digests in a shuffle, which finds the same.
 
+Passages that recur are mostly longer than LENGTH bytes, but need not be. n_passages counts the RUN-word strings of a
+document, chosen by winnowing over words, that another document has: a document that shares PASSAGE words or more with
+another has at least one, one that has any shares RUN words. It says what recurs and removes nothing.
+
 A null text is empty. Rows that agree in id and text get equal results. An empty table gives an empty result; other
 columns are ignored. A text must fit in a task's memory; the whole text is used.
 """
@@ -34,44 +38,68 @@ CONTEXTS = 4000
 BUNDLE = 2_000_000
 #: Contexts that a task holds at once where it makes or digests them.
 SLICE = 1000
+#: Words of a passage that is found in any other document, and of the runs by which it is found.
+PASSAGE = 51
+RUN = 40
 
 
-def anchors(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of texts side by side: of each LENGTH bytes inside a text the ANCHOR bytes with the
-    least hash, the last of equals."""
-    n = len(b) - LENGTH + 1
+def winnowed(h: np.ndarray, off: np.ndarray, length: int, anchor: int) -> np.ndarray:
+    """Places of the anchors of texts side by side, which begin at off: of each `length` units inside a text the `anchor`
+    units with the least hash, the last of equals. h: the hash of `anchor` units at each place."""
+    n = int(off[-1]) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    c = tk.prefix_hash(b)
-    at = np.arange(len(b) - ANCHOR + 1)
-    h = tk.stretch_hash(c, at, at + ANCHOR)
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
-    w = SIDE + 1
+        return np.zeros(0, np.int64)
+    key = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
+    w = length - anchor + 1
     pad = -len(key) % w
     key = np.concatenate((key, np.full(pad, np.iinfo(np.uint64).max, np.uint64))).reshape(-1, w)
     ahead = np.minimum.accumulate(key, 1).ravel()
     behind = np.minimum.accumulate(key[:, ::-1], 1)[:, ::-1].ravel()
     least = np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
-    inside = np.zeros(len(b) + 1, np.int32)  # where LENGTH bytes of one text start
-    long = np.diff(off) >= LENGTH
+    inside = np.zeros(int(off[-1]) + 1, np.int32)  # where `length` units of one text start
+    long = np.diff(off) >= length
     np.add.at(inside, off[:-1][long], 1)
-    np.add.at(inside, off[1:][long] - LENGTH + 1, -1)
-    chosen = np.unique(np.uint64(0xFFFFFFFF) - (least[np.cumsum(inside)[:n] > 0] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    np.add.at(inside, off[1:][long] - length + 1, -1)
+    return np.unique(np.uint64(0xFFFFFFFF) - (least[np.cumsum(inside)[:n] > 0] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+
+
+def anchors(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of texts side by side."""
+    if len(b) < LENGTH:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(len(b) - ANCHOR + 1)
+    h = tk.stretch_hash(tk.prefix_hash(b), at, at + ANCHOR)
+    chosen = winnowed(h, off, LENGTH, ANCHOR)
     return chosen, h[chosen]
 
 
+def passages(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of RUN words chosen from each PASSAGE words inside a text, and the first of each text."""
+    words, first = tk.word_hashes(b, off)
+    if len(words) < PASSAGE:
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    power, inverse = tk.powers(len(words) + 1)
+    c = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=c[1:])
+    h = tk.mix((c[RUN:] - c[:-RUN]) * inverse[: len(words) - RUN + 1])
+    at = winnowed(h, first, PASSAGE, RUN)
+    return h[at], np.searchsorted(at, first)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, b, off in tk.chunks(batch.column("text")):
             at, h = anchors(b, off)
+            shared, to = passages(b, off)
             cut = np.searchsorted(at, off).astype(np.int32)
             raw, o = b.tobytes(), off.tolist()
             texts = [raw[p:q] for p, q in zip(o, o[1:], strict=False)]
             rows = batch.slice(i, j - i)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("_k1"), rows.column("_k2"), pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()), pa.array(np.diff(off)), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
-                 pa.ListArray.from_arrays(cut, pa.array(h.astype(np.int64))), pa.ListArray.from_arrays(cut, pa.array((at - np.repeat(off[:-1], np.diff(cut))).astype(np.int32)))],
-                ["doc_id", "_k1", "_k2", "cls", "n", "sha", "h", "at"],
+                 pa.ListArray.from_arrays(cut, pa.array(h.astype(np.int64))), pa.ListArray.from_arrays(cut, pa.array((at - np.repeat(off[:-1], np.diff(cut))).astype(np.int32))),
+                 pa.ListArray.from_arrays(to.astype(np.int32), pa.array(shared.astype(np.int64)))],
+                ["doc_id", "_k1", "_k2", "cls", "n", "sha", "h", "at", "runs"],
             )
 
 
@@ -211,12 +239,21 @@ def kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.binary())], ["_k1", "_k2", "n_removed", "n_spans", "kept"])
 
 
+def shared_runs(scratch: Scratch, texts: DataFrame) -> DataFrame:
+    """_k1, _k2, n_passages: how many of a document's runs another document has. A run that many have is one row for each
+    partition before it is shuffled; keys tell documents apart."""
+    runs = texts.select(*K, F.explode(F.array_distinct("runs")).alias("run"))
+    key = F.struct(*K)
+    again = runs.groupBy("run").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b").select("run")
+    return runs.join(scratch.write(again), "run").dropDuplicates([*K, "run"]).groupBy(*K).agg(F.count("*").alias("n_passages"))
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages for each row of docs."""
     scratch = Scratch(spark)
     rows = keyed(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    texts = scratch.write(rows.mapInArrow(text_batches, f"doc_id {kind}, _k1 bigint, _k2 int, cls binary, n bigint, sha binary, h array<bigint>, at array<int>"))
+    texts = scratch.write(rows.mapInArrow(text_batches, f"doc_id {kind}, _k1 bigint, _k2 int, cls binary, n bigint, sha binary, h array<bigint>, at array<int>, runs array<bigint>"))
     classes = scratch.write(texts.filter(F.col("n") >= LENGTH).groupBy("cls").agg(F.count("*").alias("mult"), F.min(F.struct(*K)).alias("one")))
     one = classes.select(F.col("one._k1").alias("_k1"), F.col("one._k2").alias("_k2"), (F.col("mult") > 1).alias("whole"))
     found = texts.select(*K, "h", "at").join(one, K).select(*K, "whole", F.explode(F.arrays_zip("h", "at")).alias("x")).select(*K, "whole", "x.*")
@@ -247,9 +284,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     spans = seen.join(repeats, ["h", "ctx"]).groupBy(*K).agg(F.array_sort(F.collect_set(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("z")).alias("z")))).alias("spans"))
     kept = active.filter("not whole").select(*K, "text").join(spans, K).mapInArrow(kept_batches, "_k1 bigint, _k2 int, n_removed bigint, n_spans bigint, kept binary")
     out = texts.select("doc_id", *K, "cls", "n", "sha").join(classes.select("cls", "mult"), "cls", "left").join(scratch.write(kept), K, "left")
+    out = out.join(scratch.write(shared_runs(scratch, texts)), K, "left")
     whole = F.coalesce(F.col("mult") > 1, F.lit(False))
     return out.select(
         "doc_id", F.col("n").alias("n_bytes"), F.when(whole, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex(F.coalesce("kept", "sha")))).alias("kept_sha256"),
+        F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"),
     )

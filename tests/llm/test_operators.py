@@ -333,6 +333,21 @@ def test_repeats(spark, corpus, monkeypatch, crowd):
     assert got == sorted(want)
 
 
+def test_passages(spark):
+    """51 words that two documents share are found wherever they stand and however short; 39 are not."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(40):
+        shared = text(51 if i % 2 else 39)
+        rows += [(10 * i, f"{text(r.randint(0, 200))}. {shared}, {text(r.randint(0, 90))}", None), (10 * i + 1, f"{text(r.randint(0, 90))} {shared.upper()} {text(60)}", None)]
+    rows += [(1000, None, None), (1001, text(51), None), (1001, rows[0][1], None)]
+    got = {(x.doc_id, x.n_bytes): x.n_passages for x in repeats.remove_repeats(spark, frame(spark, rows)).collect()}
+    assert all((n > 0) == (d // 10 % 2 == 1) for (d, _), n in got.items() if 1 < d < 1000)
+    assert got[1000, 0] == 0 and got[1001, len(rows[0][1])] > 0
+
+
 def test_forward_is_exact():
     r = np.random.default_rng(3)
     pi, a, b = r.dirichlet([1] * 3), r.dirichlet([1] * 3, 3), r.dirichlet([1] * 5, 3).T
