@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
 writes what each stage returns to the shared scratch folder and reads it back for the next.
+
+Null and empty texts score as documents without words: they are no near copies of each other, hold no benchmark windows
+and no personal data, and have size 0. Ids may be null or repeat; rows that repeat are near copies, of which one stays.
+Very long texts are read whole. An empty table gives an empty result. Other columns are carried along, whatever their names;
+n_chars follows the redacted text.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.llm import decontamination, jaccard, mixing, pii, toxicity
-from gneiss.llm.common import Scratch
+from gneiss.sources.scratch import Scratch
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        made = len(Scratch.made)
         last, docs = docs, scratch.write(stage(spark, docs, sf_dir))
+        Scratch.drop_since(made)  # what the stage wrote for itself
         if name != STAGES[0][0]:
             scratch.drop(last)
     return docs

@@ -24,7 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables in the shared folder. They cut lineage, outlive lost executors and go when the driver ends or drop() is called."""
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
+        Scratch.made.append(self)
         self.spark, self.root = spark, f"{shared_dir(spark)}/gneiss-{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self.drop)
@@ -49,3 +52,11 @@ class Scratch:
         except Exception:  # noqa: BLE001  the session may be gone; what is left is only scratch
             if frames:
                 raise
+
+    @staticmethod
+    def drop_since(n: int) -> None:
+        """Deletes all tables of the scratches made after the first n, whose results are written."""
+        for s in Scratch.made[n:]:
+            s.drop()
+            atexit.unregister(s.drop)
+        del Scratch.made[n:]
