@@ -5,8 +5,9 @@ and their first six and seven bytes, and each of these once more if it occurs tw
 space. Document frequencies come from all documents. Weights are TF-IDF times the root of 1 + G-squared of the term's
 difference between the labels of the sample: no term is left out, telling ones weigh more. Examples are vectors of length one over all their terms. A
 document's terms that no example has would only stretch its own vector, by which neither the order of its neighbours nor
-the shares of their votes change, so that they need no weights. All cosines are found exactly: terms of many examples by
-matrix products, the others by their postings. Neighbours vote with their cosine as weight, each label weighing as much as
+the shares of their votes change, so that they need no weights. The nearest are found exactly by an inverted index
+with the greatest weight of each term in each block of examples: blocks whose bound stays below the cosines found are not
+worked out. Neighbours vote with their cosine as weight, each label weighing as much as
 it has among the labels that are learned from. A monotone fit of left-out votes of the examples to their labels turns votes into scores. Documents
 without any of the terms get the share of toxic examples among their like.
 
@@ -34,8 +35,11 @@ PREFIXES = (6, 7)
 NEAREST = 25
 #: Terms of more than one in so many examples go into the matrix.
 DENSE = 16
+#: Examples of a block, and what rounding may add to a bound.
+BLOCK = 64
+SLACK = 1e-5
 #: Documents that are worked on at once.
-STRETCH = 32
+STRETCH = 64
 THRESHOLD = 0.7
 
 
@@ -122,15 +126,15 @@ def frequency_batches(space):
 
 
 class Index:
-    """Labelled vectors. terms and tf: one array each for every example. Terms of many examples are kept as a matrix, the
-    others as postings; a worker lays them out when it first needs them."""
+    """Labelled vectors. terms and tf: one array each for every example. A worker lays out the block-max inverted index when
+    it first needs it."""
 
     def __init__(self, terms: list, tf: list, toxic: np.ndarray, idf: np.ndarray, share: tuple[float, float], fit: bool = True):
         self.idf, self.toxic = idf, toxic.astype(float)
         n = np.bincount(toxic.astype(int), minlength=2)
         self.mass = np.where(toxic > 0, share[1] / max(n[1], 1), share[0] / max(n[0], 1))
         self.own = [self.vector(t, f) for t, f in zip(terms, tf, strict=True)]
-        self.laid = None
+        self.laid, self.skipped = False, 0
         none = np.array([not len(t) for t, _ in self.own], bool)
         self.none = float((self.mass * self.toxic)[none].sum() / self.mass[none].sum()) if none.any() else share[1] / max(sum(share), 1)
         self.steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
@@ -141,35 +145,81 @@ class Index:
         w = (1 + np.log(tf)) * self.idf[terms]
         return terms.astype(np.int32), (w / max(np.sqrt((w * w).sum()), 1e-300)).astype(np.float32)
 
-    def lay(self) -> tuple:
-        """For each term its row of the matrix or -1, the matrix, and each term's first posting, the postings' examples and
-        weights."""
+    def lay(self) -> None:
+        """The inverted index. Examples lie in blocks of BLOCK, those of one label and one heaviest term side by side. Terms
+        of many examples have a row of a matrix, the others postings (place, weight); for each block the greatest weight of
+        a term is kept as well."""
         n = len(self.own)
+        heaviest = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in self.own])
+        self.order = np.lexsort((np.arange(n), heaviest, self.toxic))
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.blocks = -(-n // BLOCK)
         t, w = (np.concatenate([x[k] for x in self.own]) for k in (0, 1))
-        e = np.repeat(np.arange(n), [len(x[0]) for x in self.own])
+        e = np.repeat(place, [len(x[0]) for x in self.own])
         size = np.bincount(t, minlength=len(self.idf))
         dense = size * DENSE > n
-        row = np.where(dense, np.cumsum(dense) - 1, -1)
-        matrix = np.zeros((int(dense.sum()), n), np.float32)
-        matrix[row[t[dense[t]]], e[dense[t]]] = w[dense[t]]
-        rest = np.flatnonzero(~dense[t])
-        rest = rest[np.argsort(t[rest], kind="stable")]
-        return row, matrix, np.concatenate(([0], np.cumsum(np.where(dense, 0, size)))), e[rest], w[rest]
-
-    def cosines(self, n: int, doc: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Of n vectors, whose weights come by vector, with all examples."""
-        if self.laid is None:
-            self.laid = self.lay()
-        row, matrix, at, examples, weights = self.laid
-        dense = row[terms] >= 0
-        x = np.zeros((n, len(matrix)), np.float32)
-        x[doc[dense], row[terms[dense]]] = w[dense]
-        got = x @ matrix
-        doc, terms, w = doc[~dense], terms[~dense], w[~dense]
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.matrix = np.zeros((self.blocks, int(dense.sum()), BLOCK), np.float32)
+        d = dense[t]
+        self.matrix[e[d] // BLOCK, self.row[t[d]], e[d] % BLOCK] = w[d]
+        self.top = np.ascontiguousarray(self.matrix.max(2, initial=0).T)
+        by = np.lexsort((e[~d], t[~d]))
+        t, self.examples, self.weights = t[~d][by], e[~d][by], w[~d][by]
+        self.at = np.searchsorted(t, np.arange(len(self.idf) + 1))
+        # greatest weights by term and block
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (self.examples[1:] // BLOCK != self.examples[:-1] // BLOCK)
+        first = np.flatnonzero(new)
+        self.block_of, self.block_top = self.examples[first] // BLOCK, np.maximum.reduceat(self.weights, first) if len(first) else self.weights
+        self.block_at = np.searchsorted(t[first], np.arange(len(self.idf) + 1))
+        self.laid = True
+
+    @staticmethod
+    def listed(at: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The postings of terms one after the other, and which of the terms each belongs to."""
         size = at[terms + 1] - at[terms]
-        post = np.arange(size.sum()) + np.repeat(at[terms] - np.cumsum(size) + size, size)
-        rest = np.bincount(np.repeat(doc * len(self.own), size) + examples[post], np.repeat(w, size) * weights[post], n * len(self.own))
-        return got + rest.reshape(n, -1).astype(np.float32)
+        return np.arange(size.sum()) + np.repeat(at[terms] - np.cumsum(size) + size, size), np.repeat(np.arange(len(terms)), size)
+
+    def cosines(self, n: int, doc: np.ndarray, terms: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+        """Of n vectors, whose weights come by vector, with all examples that may be among the k nearest; 0 for others.
+
+        The weights of a vector times the greatest of each block bound the cosines of the block. The blocks with the
+        highest bounds are worked out first; then all whose bound reaches the k-th best cosine found there.
+        """
+        if not self.laid:
+            self.lay()
+        dense = self.row[terms] >= 0
+        x = np.zeros((n, len(self.top)), np.float32)
+        x[doc[dense], self.row[terms[dense]]] = w[dense]
+        doc, terms, w = doc[~dense], terms[~dense], w[~dense]
+        post, which = self.listed(self.block_at, terms)
+        bound = (x @ self.top + np.bincount(doc[which] * self.blocks + self.block_of[post], w[which] * self.block_top[post], n * self.blocks).reshape(n, -1)) * (1 + SLACK) + SLACK
+        post, which = self.listed(self.at, terms)
+        block = self.examples[post] // BLOCK
+        got = np.zeros((n, self.blocks * BLOCK), np.float32)
+
+        def work(need: np.ndarray) -> None:
+            for b in np.flatnonzero(need.any(0)):
+                rows = np.flatnonzero(need[:, b])
+                got[rows, b * BLOCK : (b + 1) * BLOCK] = x[rows] @ self.matrix[b]
+            keep = need[doc[which], block]
+            p, q = post[keep], which[keep]
+            got[:] += np.bincount(doc[q] * got.shape[1] + self.examples[p], w[q] * self.weights[p], got.size).reshape(n, -1).astype(np.float32)
+
+        m = min(self.blocks, -(-k // BLOCK) + 1)
+        need = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(need, np.argpartition(-bound, m - 1, 1)[:, :m], True, 1)
+        work(need)
+        if m < self.blocks:
+            least = np.partition(got, -k, 1)[:, -k] if got.shape[1] > k else np.zeros(n)
+            self.skipped += n * self.blocks
+            more = (bound >= least[:, None]) & ~need
+            self.skipped -= int(more.sum() + need.sum())
+            work(more)
+        out = np.zeros((n, len(self.own)), np.float32)
+        out[:, self.order] = got[:, : len(self.own)]
+        return out
 
     @staticmethod
     def best(cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +233,7 @@ class Index:
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples that share a term, and their cosines."""
-        return self.best(self.cosines(1, np.zeros(len(terms), int), terms, w)[0], k)
+        return self.best(self.cosines(1, np.zeros(len(terms), int), terms, w, k)[0], k)
 
     def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
         w = cos * self.mass[ids]
@@ -194,7 +244,7 @@ class Index:
         for i in range(0, n, STRETCH):
             j = min(i + STRETCH, n)
             s, e = np.searchsorted(doc, [i, j])
-            for cos in self.cosines(j - i, doc[s:e] - i, terms[s:e], w[s:e]):
+            for cos in self.cosines(j - i, doc[s:e] - i, terms[s:e], w[s:e], k):
                 yield self.best(cos, k)
 
     def votes(self, examples: np.ndarray) -> list[tuple[int, float]]:

@@ -467,6 +467,22 @@ def test_nearest_is_exact():
         assert np.allclose(cos, want, atol=1e-6) and np.allclose((dense @ dense[e])[ids], cos, atol=1e-6)
 
 
+def test_block_bounds_skip_blocks(monkeypatch):
+    """Blocks are left out, and what is found is what a plain product finds."""
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    r = np.random.default_rng(4)
+    terms = [np.sort(np.concatenate((r.choice(5, 2, replace=False), 5 + e // 20 * 10 + r.choice(10, 4, replace=False)))) for e in range(200)]
+    index = toxicity.Index(terms, [np.ones(6) for _ in terms], r.integers(0, 2, 200), np.concatenate((np.full(5, 0.05), r.uniform(1, 3, 100))), (3.0, 1.0))
+    dense = np.zeros((200, 105))
+    for e, (t, w) in enumerate(index.own):
+        dense[e, t] = w
+    index.skipped = 0
+    for e in range(200):
+        ids, cos = index.nearest(*index.own[e], 5)
+        assert np.allclose(cos, np.sort(dense @ dense[e])[::-1][:5], atol=1e-6) and np.allclose((dense @ dense[e])[ids], cos, atol=1e-6)
+    assert index.skipped > 0
+
+
 def test_words():
     import pyarrow as pa
 
