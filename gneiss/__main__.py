@@ -24,6 +24,12 @@ def outline(doc: Document, count=codec.token_words) -> tuple[list[str], dict[str
     return list(sections), sections
 
 
+def until(doc: Document, page: int | None) -> Document:
+    """The blocks up to the end of a page; all without page marks."""
+    last = next((i for i, b in enumerate(doc.blocks) if page is not None and b.kind == "page" and b.number > page), None)
+    return Document(doc.title, doc.blocks[:last], doc.source)
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="gneiss")
     sub = p.add_subparsers(dest="do", required=True)
@@ -34,7 +40,10 @@ def main(args: list[str] | None = None) -> int:
         s.add_argument("-o", "--output")
         s.add_argument("--to", default="dense", choices=[*codec.FORMATS, "skeleton", "md"])
         s.add_argument("--tier", action="store_true")
-        s.add_argument("--legend", action="store_true")
+        s.add_argument("--legend", action=argparse.BooleanOptionalAction, default=False)
+        s.add_argument("--max-pages", type=int, help="read blocks up to this page mark")
+        s.add_argument("--granularity", default="cell", choices=["cell", "line"])
+        s.add_argument("--json", action="store_true")
         s.add_argument("--raw", action="store_true", help="no column codes")
         s.add_argument("--summary", action="store_true")
     a = p.parse_args(args)
@@ -56,10 +65,11 @@ def run(a) -> tuple[str, int]:
     if a.do == "validate":
         with open(a.input) as f:
             found = codec.validate(f.read())
-        return "\n".join(f"{n}: {rule}: {detail}" for n, rule, detail in found) or "ok", int(bool(found))
-    doc = read(a.input)
+        rows = [{"line": n, "rule": rule, "detail": detail} for n, rule, detail in found]
+        return json.dumps(rows) if a.json else "\n".join(f"{n}: {rule}: {detail}" for n, rule, detail in found) or "ok", int(bool(found))
+    doc = until(read(a.input), a.max_pages)
     if a.do == "diff":
-        text = diff(doc, read(a.more[0]), (a.input, a.more[0]), a.summary)
+        text = diff(doc, until(read(a.more[0]), a.max_pages), (a.input, a.more[0]), a.summary, a.granularity)
         return (reshape(text, a.to) if a.to in ("md", "json") else text), 0
     if a.do == "stats":
         return json.dumps({k: codec.token_chars(f(doc)) for k, f in codec.FORMATS.items()}), 0

@@ -6,12 +6,17 @@ import hashlib
 import re
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.sources.blocks import Document
 
 
+def trimmed(blocks: DataFrame, most: int = 100) -> DataFrame:
+    """Blocks whose tables keep their first rows only."""
+    return blocks.withColumn("rows", F.slice("rows", 1, most))
+
+
 def perturbed(number: Column, doc: Column) -> Column:
     """A whole number times 0.5 to 1.5, the same for a number everywhere in a document and in every run."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", doc.cast("string"), number.cast("string"))), 1, 4), 16, 10).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,11 +45,36 @@ def body_size(spans: DataFrame, by: list[str]) -> DataFrame:
     return g.groupBy(*by).agg(F.max_by("s", F.struct("n", -F.col("s"))).alias("body"))
 
 
+def leveled(ratio: Column, text: Column) -> Column:
+    """The level of a heading by how much larger than the body it is; null for body text and for long text."""
+    return F.when(F.length(text) < 160, F.when(ratio >= 1.6, 1).when(ratio >= 1.35, 2).when(ratio >= 1.15, 3))
+
+
 def heading_levels(spans: DataFrame, by: list[str]) -> DataFrame:
     """Spans with the level of heading that their size stands for (null: body)."""
-    r = F.col("size") / F.col("body")
-    level = F.when(F.length("text") < 160, F.when(r >= 1.6, 1).when(r >= 1.35, 2).when(r >= 1.15, 3))
-    return spans.join(body_size(spans, by), by).withColumn("level", level).drop("body")
+    return spans.join(body_size(spans, by), by).withColumn("level", leveled(F.col("size") / F.col("body"), F.col("text"))).drop("body")
+
+
+def page_blocks(spans: DataFrame, by: list[str], images: DataFrame | None = None, max_pages: int | None = None) -> DataFrame:
+    """(by..., pos, kind, level, text, number): the blocks of paged documents in reading order.
+
+    spans: (by..., page, block, x0, y0, size, text), pieces of text with the block they belong to; images: (by..., page).
+    Each page begins with a page mark; its blocks follow from top to bottom, then left to right, as headings by their
+    greatest size against the body's or as paragraphs; a page with images ends with one figure.
+    """
+    pages = spans if max_pages is None else spans.filter(F.col("page") <= max_pages)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda s: s["text"]), " ")
+    blocks = pages.groupBy(*by, "page", "block").agg(F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.max("size").alias("size"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+    level = leveled(F.col("size") / F.col("body"), F.col("text"))
+    blocks = blocks.filter("text <> ''").join(body_size(pages, by), by)
+    blocks = blocks.select(*by, "page", F.lit(1).alias("rank"), "y0", "x0", "block", F.when(level.isNull(), "para").otherwise("heading").alias("kind"), level.alias("level"), "text")
+    none = lambda rank, kind: [F.lit(rank).alias("rank"), *[F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in ("y0", "x0", "block")], F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit("").alias("text")]
+    out = blocks.unionByName(pages.select(*by, "page").distinct().select(*by, "page", *none(0, "page")))
+    if images is not None:
+        shown = images if max_pages is None else images.filter(F.col("page") <= max_pages)
+        out = out.unionByName(shown.select(*by, "page").distinct().select(*by, "page", *none(2, "figure")))
+    order = Window.partitionBy(*by).orderBy("page", "rank", "y0", "x0", "block")
+    return out.select(*by, (F.row_number().over(order) - 1).alias("pos"), "kind", "level", "text", F.when(F.col("kind") == "page", F.col("page")).alias("number"))
 
 
 def islands(df: DataFrame, by: list[str], value: str, gap: float, name: str, order: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from gneiss.functions import text as tx
 from gneiss.functions import tokens as tk
 from gneiss.operators import fidelity as fd
+from gneiss.operators import perturb as pt
+from gneiss.operators import questions as qs
 from gneiss.operators import sections as sc
 from gneiss.operators import spatial as sp
 from gneiss.plans import codec as cd
@@ -198,3 +200,32 @@ def damaged_documents(spark, sf_dir):
 @query(r"""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type AS line, count(*) AS n, CAST(len(regexp_extract_all(event_type, '\S+')) AS INT) AS tokens FROM events GROUP BY ALL""")
 def event_lines(spark, sf_dir):
     return sw.line_counts(table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("text")))
+
+
+@query(ROWS_SQL.replace("FROM orders", "FROM orders QUALIFY row < 5"))
+def trimmed_tables(spark, sf_dir):
+    return back(pt.trimmed(order_blocks(spark, sf_dir), 5))
+
+
+PAGES = "s AS (SELECT p_brand, p_partkey, CAST(p_partkey % 7 + 1 AS INT) AS page, p_partkey // 3 AS block, CAST(p_partkey * 37 % 500 AS INT) AS x0, CAST(p_partkey * 91 % 700 AS INT) AS y0, 8.0::DOUBLE + [0, 0, 0, 3, 6, 9][p_partkey % 6 + 1] AS size, p_name AS text FROM part WHERE p_partkey % 7 < 5)"
+
+
+@query(f"""WITH {PAGES}, n AS (SELECT p_brand, size, sum(length(text)) AS n FROM s GROUP BY 1, 2), body AS (SELECT p_brand, size AS body FROM n QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, size) = 1),
+    b AS (SELECT p_brand, page, 1 AS rank, min(y0) AS y0, min(x0) AS x0, block, max(size) AS size, string_agg(text, ' ' ORDER BY y0, x0, text) AS text FROM s GROUP BY p_brand, page, block),
+    l AS (SELECT p_brand, page, rank, y0, x0, block, text, CASE WHEN length(text) >= 160 THEN NULL WHEN size / body >= 1.6 THEN 1 WHEN size / body >= 1.35 THEN 2 WHEN size / body >= 1.15 THEN 3 END AS level FROM b JOIN body USING (p_brand)),
+    u AS (SELECT p_brand, page, rank, y0, x0, block, CASE WHEN level IS NULL THEN 'para' ELSE 'heading' END AS kind, level, text FROM l UNION ALL SELECT DISTINCT p_brand, page, 0, NULL, NULL, NULL, 'page', NULL, '' FROM s
+        UNION ALL SELECT DISTINCT p_brand, page, 2, NULL, NULL, NULL, 'figure', NULL, '' FROM s WHERE p_partkey % 35 = 1)
+    SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY page, rank, y0, x0, block) - 1 AS INT) AS pos, kind, CAST(level AS INT) AS level, text, CASE WHEN kind = 'page' THEN page END AS number FROM u""")
+def paged_blocks(spark, sf_dir):
+    """Spans on pages as blocks in reading order, up to the fifth page."""
+    size = F.lit(8.0) + F.element_at(F.array(*[F.lit(x) for x in (0, 0, 0, 3, 6, 9)]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    k = F.col("p_partkey")
+    s = table(spark, sf_dir, "part").select("p_brand", k, (k % 7 + 1).cast("int").alias("page"), F.floor(k / 3).alias("block"), (k * 37 % 500).cast("int").alias("x0"), (k * 91 % 700).cast("int").alias("y0"), size.alias("size"), F.col("p_name").alias("text"))
+    return sp.page_blocks(s, ["p_brand"], s.filter("p_partkey % 35 = 1"), 5)
+
+
+@query(r"""WITH c AS (SELECT text, len(regexp_extract_all(text, '\S+')) AS n FROM conversations) SELECT CASE WHEN n > 200 THEN 'large' WHEN n > 50 THEN 'medium' ELSE 'small' END AS bucket,
+    CAST(sum(CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS n, avg(CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0.0 END) AS accuracy, avg(n) AS mean_tokens FROM c GROUP BY 1""")
+def score_buckets(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.lit("the").alias("gold"), F.col("text").alias("pred"), tk.words(F.col("text")).alias("prompt_tokens"))
+    return qs.score_answers(c.withColumn("bucket", qs.bucket(F.col("prompt_tokens"), {"large": 200, "medium": 50})), ["bucket"])

@@ -367,7 +367,9 @@ def read_pptx(data: bytes, name: str = "") -> Document:
             if bullets:
                 doc.blocks.append(Block("list", items=bullets) if len(bullets) > 1 else Block("para", bullets[0]))
             doc.blocks += [b for b in extra if b]
-            notes = f"ppt/notesSlides/notesSlide{i}.xml"
+            links = f"ppt/slides/_rels/{posixpath.basename(path)}.rels"
+            linked = [e.attrib["Target"] for e in ElementTree.fromstring(z.read(links)) if e.attrib.get("Type", "").endswith("/notesSlide")] if links in z.namelist() else []
+            notes = posixpath.normpath(posixpath.join("ppt/slides", linked[0])) if linked else ""
             if notes in z.namelist() and (t := squeezed(" ".join(_texts(p) for p in ElementTree.fromstring(z.read(notes)).iter() if _local(p) == "p"))):
                 doc.blocks.append(Block("kv", pairs=[("notes", t)]))
     return doc
