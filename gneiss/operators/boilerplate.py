@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.tokens import Counter, words
@@ -17,6 +17,13 @@ def boilerplate(blocks: DataFrame, by: list[str], count: Counter = words, least:
     return g.filter(count(F.col("text")) >= least_tokens)
 
 
+def marked(blocks: DataFrame, by: list[str], name: str = "recurring", count: Counter = words, least: int = 3, longest: int = 200, least_tokens: int = 3) -> DataFrame:
+    """Blocks with a mark on the texts that boilerplate() finds in their document. One shuffle, no join."""
+    t = F.trim("text")
+    n = F.count("*").over(Window.partitionBy(*by, t))
+    return blocks.withColumn(name, (n >= least) & (F.length(t) > 0) & (F.length(t) <= longest) & (count(t) >= least_tokens))
+
+
 def strip_boilerplate(blocks: DataFrame, by: list[str], **options) -> DataFrame:
     lines = boilerplate(blocks, by, **options).select(*by, F.col("text").alias("_line"))
     return blocks.withColumn("_line", F.trim("text")).join(lines, [*by, "_line"], "left_anti").drop("_line")

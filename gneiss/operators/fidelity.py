@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import clean_text, terms
@@ -18,9 +18,20 @@ def content_bag(blocks: DataFrame, key: str = "doc_id", text: str = "text", clea
 def compare_bags(old: DataFrame, new: DataFrame, key: str = "doc_id", sample: int = 15) -> DataFrame:
     """Recall of different terms and of occurrences for each document, with the first missing terms."""
     j = old.withColumnRenamed("n", "a").join(new.withColumnRenamed("n", "b"), [key, "term"], "full")
-    a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
+    return recalled(j.select(key, "term", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b")), key, sample)
+
+
+def compare_kept(blocks: DataFrame, kept: Column, key: str = "doc_id", text: str = "text", sample: int = 15) -> DataFrame:
+    """compare_bags of blocks and those of them that are kept: both bags are counted in one aggregate, nothing is joined."""
+    t = blocks.select(key, kept.cast("long").alias("_kept"), F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
+    return recalled(t.groupBy(key, "term").agg(F.count("*").alias("a"), F.sum("_kept").alias("b")), key, sample)
+
+
+def recalled(both: DataFrame, key: str, sample: int) -> DataFrame:
+    """both: (key, term, a, b), how often a term occurs before and after."""
+    a, b = F.col("a"), F.col("b")
     has, lost = a > 0, (a > 0) & (b == 0)
-    g = j.groupBy(key).agg(
+    g = both.groupBy(key).agg(
         F.sum(has.cast("long")).alias("distinct_original"), F.sum(lost.cast("long")).alias("distinct_missing"), F.sum(a).alias("occurrences_original"),
         F.sum(F.least(a, b)).alias("occurrences_kept"), F.array_sort(F.collect_set(F.when(lost, F.col("term")))).alias("missing"),
     )

@@ -42,9 +42,11 @@ def read_text_blocks(spark, sf_dir):
     b AS (SELECT doc_id, count(*) AS n_blocks, CAST(sum(len(regexp_extract_all(text, '[.!?](?:\s|$)'))) AS BIGINT) AS n_sentences FROM blocks GROUP BY 1)
     SELECT b.doc_id, n_blocks, coalesce(n_terms, 0) AS n_terms, coalesce(n_distinct_terms, 0) AS n_distinct_terms, n_sentences FROM b LEFT JOIN s USING (doc_id)""")
 def document_stats(spark, sf_dir):
-    b = src.text_blocks(table(spark, sf_dir, "documents")).withColumn("t", tx.terms(F.col("text")))
-    parts = b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.size("t")).cast("long").alias("n_terms"), F.size(F.array_distinct(F.flatten(F.collect_list("t")))).cast("long").alias("n_distinct_terms"), F.sum(F.regexp_count("text", F.lit(tx.SENTENCE_END))).cast("long").alias("n_sentences"))
-    return parts
+    """One row a document, without a shuffle."""
+    d = table(spark, sf_dir, "documents").select("doc_id", src.paragraphs(F.col("text")).alias("p"), tx.terms(F.coalesce("text", F.lit(""))).alias("t"))
+    ends = F.aggregate("p", F.lit(0).cast("long"), lambda n, p: n + F.regexp_count(p, F.lit(tx.SENTENCE_END)))
+    size = lambda x: F.size(x).cast("long")
+    return d.filter(F.size("p") > 0).select("doc_id", size("p").alias("n_blocks"), size("t").alias("n_terms"), size(F.array_distinct("t")).alias("n_distinct_terms"), ends.alias("n_sentences"))
 
 
 @query(rf"WITH {BLOCKS} SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {TERMS})) AS term FROM blocks) GROUP BY 1, 2")
@@ -62,8 +64,8 @@ def content_bag(spark, sf_dir):
         coalesce(array_to_string(list_slice(list_sort(list(term) FILTER (y = 0)), 1, 15), ' '), '') AS missing_sample FROM j GROUP BY 1""")
 def bag_recall(spark, sf_dir):
     """What documents keep without their repeated lines."""
-    lines = src.line_blocks(table(spark, sf_dir, "documents"))
-    return fd.compare_bags(fd.content_bag(lines, clean=False), fd.content_bag(bp.strip_boilerplate(lines, ["doc_id"]), clean=False))
+    lines = bp.marked(src.line_blocks(table(spark, sf_dir, "documents")), ["doc_id"])
+    return fd.compare_kept(lines, ~F.col("recurring"))
 
 
 @query(rf"WITH {BLOCKS} SELECT doc_id, CAST(pos AS INT) AS pos, CAST(n AS INT) AS tokens, d AS density, n >= 120 AND d <= 0.6 AS index_like FROM (SELECT *, len(regexp_extract_all(text, '\S+')) AS n, len(regexp_extract_all(text, '[.!?](?:\s|$)')) * 100.0::DOUBLE / len(regexp_extract_all(text, '\S+')) AS d FROM blocks)")
