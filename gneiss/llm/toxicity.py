@@ -36,7 +36,7 @@ NEAREST = 25
 #: Terms of more than one in so many examples go into the matrix.
 DENSE = 16
 #: Examples of a block, and what rounding may add to a bound.
-BLOCK = 64
+BLOCK = 32
 SLACK = 1e-5
 #: Documents that are worked on at once.
 STRETCH = 64
@@ -147,8 +147,8 @@ class Index:
 
     def lay(self) -> None:
         """The inverted index. Examples lie in blocks of BLOCK, those of one label and one heaviest term side by side. Terms
-        of many examples have a row of a matrix, the others postings (place, weight); for each block the greatest weight of
-        a term is kept as well."""
+        of many examples have a row in each block's matrix and their greatest weight in it, the others postings (place,
+        weight)."""
         n = len(self.own)
         heaviest = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in self.own])
         self.order = np.lexsort((np.arange(n), heaviest, self.toxic))
@@ -167,12 +167,6 @@ class Index:
         by = np.lexsort((e[~d], t[~d]))
         t, self.examples, self.weights = t[~d][by], e[~d][by], w[~d][by]
         self.at = np.searchsorted(t, np.arange(len(self.idf) + 1))
-        # greatest weights by term and block
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (self.examples[1:] // BLOCK != self.examples[:-1] // BLOCK)
-        first = np.flatnonzero(new)
-        self.block_of, self.block_top = self.examples[first] // BLOCK, np.maximum.reduceat(self.weights, first) if len(first) else self.weights
-        self.block_at = np.searchsorted(t[first], np.arange(len(self.idf) + 1))
         self.laid = True
 
     @staticmethod
@@ -184,8 +178,9 @@ class Index:
     def cosines(self, n: int, doc: np.ndarray, terms: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
         """Of n vectors, whose weights come by vector, with all examples that may be among the k nearest; 0 for others.
 
-        The weights of a vector times the greatest of each block bound the cosines of the block. The blocks with the
-        highest bounds are worked out first; then all whose bound reaches the k-th best cosine found there.
+        The postings are added up first. What they give, with the weights of a vector times the greatest of each block,
+        bounds the cosines of the block. The blocks with the highest bounds are worked out first; then all whose bound
+        reaches the k-th best cosine found so far.
         """
         if not self.laid:
             self.lay()
@@ -193,30 +188,28 @@ class Index:
         x = np.zeros((n, len(self.top)), np.float32)
         x[doc[dense], self.row[terms[dense]]] = w[dense]
         doc, terms, w = doc[~dense], terms[~dense], w[~dense]
-        post, which = self.listed(self.block_at, terms)
-        bound = (x @ self.top + np.bincount(doc[which] * self.blocks + self.block_of[post], w[which] * self.block_top[post], n * self.blocks).reshape(n, -1)) * (1 + SLACK) + SLACK
+        wide = self.blocks * BLOCK
         post, which = self.listed(self.at, terms)
-        block = self.examples[post] // BLOCK
-        got = np.zeros((n, self.blocks * BLOCK), np.float32)
+        got = np.bincount(doc[which] * wide + self.examples[post], w[which] * self.weights[post], n * wide).reshape(n, wide).astype(np.float32)
+        bound = (x @ self.top + got.reshape(n, self.blocks, BLOCK).max(2)) * (1 + SLACK) + SLACK
 
         def work(need: np.ndarray) -> None:
             for b in np.flatnonzero(need.any(0)):
                 rows = np.flatnonzero(need[:, b])
-                got[rows, b * BLOCK : (b + 1) * BLOCK] = x[rows] @ self.matrix[b]
-            keep = need[doc[which], block]
-            p, q = post[keep], which[keep]
-            got[:] += np.bincount(doc[q] * got.shape[1] + self.examples[p], w[q] * self.weights[p], got.size).reshape(n, -1).astype(np.float32)
+                got[rows, b * BLOCK : (b + 1) * BLOCK] += x[rows] @ self.matrix[b]
 
         m = min(self.blocks, -(-k // BLOCK) + 1)
         need = np.zeros((n, self.blocks), bool)
         np.put_along_axis(need, np.argpartition(-bound, m - 1, 1)[:, :m], True, 1)
         work(need)
         if m < self.blocks:
-            least = np.partition(got, -k, 1)[:, -k] if got.shape[1] > k else np.zeros(n)
-            self.skipped += n * self.blocks
+            # what isn't worked out yet is too small where it counts
+            least = np.partition(got, -k, 1)[:, -k] if wide > k else np.zeros(n)
             more = (bound >= least[:, None]) & ~need
-            self.skipped -= int(more.sum() + need.sum())
             work(more)
+            need |= more
+            got[~np.repeat(need, BLOCK, 1)] = 0
+            self.skipped += int((~need).sum())
         out = np.zeros((n, len(self.own)), np.float32)
         out[:, self.order] = got[:, : len(self.own)]
         return out
