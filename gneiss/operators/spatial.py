@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
+from statistics import fmean, median
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,19 +89,101 @@ def islands(df: DataFrame, by: list[str], value: str, gap: float, name: str, ord
     return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def borderless_tables(words: DataFrame, by: list[str], row_gap: float = 3.0, anchor_gap: float = 6.0) -> DataFrame:
-    """(by..., row, cell, text, x0): rows of words (id, x0, y0, x1, y1, text) on pages that look like tables: words whose
-    middles lie close are a row, wide gaps part cells, and the rows' cells start at common places."""
-    w = islands(words.withColumn("_y", (F.col("y0") + F.col("y1")) / 2), by, "_y", row_gap, "row", ["x0"])
-    width = F.median((F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1)))
-    w = w.join(w.groupBy(*by).agg(F.greatest(F.lit(6.0), width * 2.5).alias("_gap")), by)
-    line = Window.partitionBy(*by, "row").orderBy("x0", "id")
-    new = (F.col("x0") - F.lag("x1").over(line) >= F.col("_gap")).cast("int")
-    w = w.withColumn("_n", F.coalesce(new, F.lit(0))).withColumn("cell", F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    cells = w.groupBy(*by, "row", "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "id", "text"))), lambda x: x["text"]), " ").alias("text"), F.min("x0").alias("x0"))
-    arity = cells.groupBy(*by, "row").agg(F.count("*").alias("cells")).filter("cells >= 2")
-    main = arity.groupBy(*by, "cells").agg(F.count("*").alias("n")).groupBy(*by).agg(F.max_by("cells", F.struct("n", "cells")).alias("arity"), F.sum("n").alias("rows"), F.max("n").alias("most"))
-    sizes = cells.join(arity.select(*by, "row"), [*by, "row"]).groupBy(*by).agg(F.median(F.length("text")).alias("med"), F.avg((F.length("text") > 60).cast("double")).alias("long"))
-    good = main.join(sizes, by).filter((F.col("rows") >= 3) & (F.col("most") >= 0.75 * F.col("rows")) & (F.col("med") <= 40) & (F.col("long") < 0.15)).select(*by)
-    starts = islands(cells.join(good, by).join(arity.select(*by, "row"), [*by, "row"]), by, "x0", anchor_gap, "anchor", ["row", "cell"])
-    return starts.select(*by, "row", "anchor", "cell", "text", "x0")
+@dataclass(frozen=True)
+class Grid:
+    """What makes aligned words a table: distances in points, shares of rows, lengths in characters."""
+
+    row_gap: float = 3.0
+    anchor_gap: float = 6.0
+    cell_gap: float = 6.0
+    widths: float = 2.5
+    rows: int = 3
+    columns: int = 2
+    share: float = 0.75
+    median: int = 40
+    long: int = 60
+    most_long: float = 0.15
+
+
+def lined(words: list[dict], grid: Grid) -> list[list[dict]]:
+    """Words by rows: a row takes the words whose middles lie close to that of its first."""
+    middle = lambda w: (w["y0"] + w["y1"]) / 2
+    rows: list[list[dict]] = []
+    for w in sorted(words, key=lambda w: (middle(w), w["x0"])):
+        if rows and abs(middle(w) - middle(rows[-1][0])) <= grid.row_gap:
+            rows[-1].append(w)
+        else:
+            rows.append([w])
+    return [sorted(r, key=lambda w: (w["x0"], w["id"])) for r in rows]
+
+
+def parted(row: list[dict], gap: float) -> list[tuple[float, str]]:
+    """The cells of a row, (left edge, text), parted at wide gaps."""
+    cells = [[row[0]]]
+    for before, w in zip(row, row[1:], strict=False):
+        if w["x0"] - before["x1"] >= gap:
+            cells.append([])
+        cells[-1].append(w)
+    return [(c[0]["x0"], " ".join(w["text"] for w in c)) for c in cells]
+
+
+def aligned(rows: list[list[tuple[float, str]]], grid: Grid) -> list[float] | None:
+    """The left edges of the columns, if the rows look like a table. Edges that lie close are one; while there are more
+    than most rows have cells, the two nearest become one."""
+    counts = Counter(len(r) for r in rows)
+    arity = max(counts, key=lambda n: (counts[n], n))
+    lengths = [len(t) for r in rows for _, t in r]
+    if len(rows) < grid.rows or arity < grid.columns or counts[arity] < grid.share * len(rows):
+        return None
+    if median(lengths) > grid.median or sum(n > grid.long for n in lengths) >= grid.most_long * len(lengths):
+        return None
+    clusters: list[list[float]] = []
+    for x in sorted(x for r in rows for x, _ in r):
+        if clusters and x - clusters[-1][-1] <= grid.anchor_gap:
+            clusters[-1].append(x)
+        else:
+            clusters.append([x])
+    while len(clusters) > arity:
+        i = min(range(len(clusters) - 1), key=lambda i: fmean(clusters[i + 1]) - fmean(clusters[i]))
+        clusters[i : i + 2] = [clusters[i] + clusters[i + 1]]
+    anchors = [fmean(c) for c in clusters]
+    used = Counter(k for r in rows for k in {nearest(anchors, x) for x, _ in r})
+    return anchors if all(used[k] >= grid.share * len(rows) for k in range(len(anchors))) else None
+
+
+def nearest(anchors: list[float], x: float) -> int:
+    return min(range(len(anchors)), key=lambda k: abs(anchors[k] - x))
+
+
+def page_tables(words: list[dict], grid: Grid = Grid()) -> list[tuple[int, int, int, int, str, float]]:  # noqa: B008
+    """(table, row, anchor, cell, text, x0) of the tables without borders on a page: runs of rows of several cells whose
+    cells start at common places."""
+    if not words:
+        return []
+    gap = max(grid.cell_gap, grid.widths * median((w["x1"] - w["x0"]) / max(len(w["text"]), 1) for w in words))
+    rows = [parted(r, gap) for r in lined(words, grid)]
+    out, table, i = [], 0, 0
+    while i < len(rows):
+        j = i
+        while j < len(rows) and len(rows[j]) >= grid.columns:
+            j += 1
+        if j > i and (anchors := aligned(rows[i:j], grid)):
+            out += [(table, r, nearest(anchors, x), c, t, x) for r, row in enumerate(rows[i:j]) for c, (x, t) in enumerate(row)]
+            table += 1
+        i = max(j, i + 1)
+    return out
+
+
+def borderless_tables(words: DataFrame, by: list[str], grid: Grid = Grid()) -> DataFrame:  # noqa: B008
+    """(by..., table, row, anchor, cell, text, x0) of the tables without borders among words (id, x0, y0, x1, y1, text) on
+    pages. A page's words are one group; that is what has to fit in a task."""
+    columns = ["table", "row", "anchor", "cell", "text", "x0"]
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(page_tables(f[["id", "x0", "y0", "x1", "y1", "text"]].to_dict("records"), grid), columns=columns)
+        for name, value in zip(by, key, strict=True):
+            out[name] = value
+        return out[[*by, *columns]]
+
+    kinds = ", ".join(f"`{c}` {words.schema[c].dataType.simpleString()}" for c in by)
+    return words.select(*by, "id", "x0", "y0", "x1", "y1", "text").groupBy(*by).applyInPandas(run, f"{kinds}, table int, row int, anchor int, cell int, text string, x0 double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as tx
@@ -229,3 +230,19 @@ def paged_blocks(spark, sf_dir):
 def score_buckets(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.lit("the").alias("gold"), F.col("text").alias("pred"), tk.words(F.col("text")).alias("prompt_tokens"))
     return qs.score_answers(c.withColumn("bucket", qs.bucket(F.col("prompt_tokens"), {"large": 200, "medium": 50})), ["bucket"])
+
+
+@query("""WITH n AS (SELECT p_brand, p_partkey, p_name, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS r FROM part)
+    SELECT p_brand, CAST(r AS INT) AS row, c.i AS anchor, c.t AS text FROM (SELECT p_brand, r, unnest([{'i': 0, 't': CAST(p_partkey AS VARCHAR)}, {'i': 1, 't': p_name}, {'i': 2, 't': CAST(p_size AS VARCHAR)}]) AS c FROM n)""")
+def borderless_cells(spark, sf_dir):
+    """Each brand's parts as words on a page, in three columns without borders, with a line of text above."""
+    p = table(spark, sf_dir, "part")
+    row = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    cells = F.posexplode(F.array(F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_size").cast("string")))
+    w = p.select("p_brand", row.alias("r"), "p_partkey", "p_name", "p_size").select("p_brand", "r", cells.alias("c", "cell"))
+    w = w.select("p_brand", "r", "c", F.posexplode(F.split("cell", " ")).alias("k", "text"), "cell")
+    start = F.lit(60.0) + F.col("c") * 300 + F.length(F.array_join(F.slice(F.split("cell", " "), F.lit(1), F.col("k")), " ")) * 5 + F.when(F.col("k") > 0, 5).otherwise(0)
+    y = F.lit(100.0) + F.col("r") * 16
+    w = w.select("p_brand", (F.col("r") * 1000 + F.col("c") * 100 + F.col("k")).cast("long").alias("id"), start.alias("x0"), y.alias("y0"), (start + F.length("text") * 5).alias("x1"), (y + 10).alias("y1"), "text")
+    line = p.select("p_brand").distinct().select("p_brand", F.lit(-1).cast("long").alias("id"), F.lit(60.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(90.0).alias("x1"), F.lit(30.0).alias("y1"), F.lit("Parts:").alias("text"))
+    return sp.borderless_tables(w.unionByName(line), ["p_brand"]).select("p_brand", "row", "anchor", "text")
