@@ -6,10 +6,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import chat, decontamination, embeddings, hmm, jaccard, licenses, mixing, pii, repeats, toxicity
 from gneiss.llm.oracles import ORACLES  # noqa: F401
-
-
-def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from gneiss.plans.registry import table
 
 
 def op1_embedding_dedup(spark, sf_dir):
