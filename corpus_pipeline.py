@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.llm import decontamination, jaccard, mixing, pii, toxicity
+from gneiss.plans.registry import table
 from gneiss.sources.scratch import Scratch
 
 
@@ -55,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         made = len(Scratch.made)
         last, docs = docs, scratch.write(stage(spark, docs, sf_dir))
