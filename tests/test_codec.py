@@ -15,7 +15,7 @@ from gneiss.operators.diff import diff, reshape
 from gneiss.operators.perturb import perturb_text
 from gneiss.operators.sections import number
 from gneiss.plans import codec as c
-from gneiss.sources.blocks import Block, Document, read_delimited, read_docx, read_html, read_markdown, read_plain, reader
+from gneiss.sources.blocks import Block, Document, read_delimited, read_docx, read_html, read_markdown, read_plain, read_pptx, read_xlsx, reader
 
 #: Lines that read as structure, made from the wire grammar, and values that quoting, references, marks and units stumble over.
 STRUCTURAL = [f"!{s} {n}" for n, s in enumerate("TDP", 3)] + ["#" * n + " x" for n in (1, 6)] + [f"{m} y" for m in "-*+>"] + ["12 z", "7. z", "`" * 3, f"{c.MAGIC} x"]
@@ -109,6 +109,14 @@ def test_column_escapes(spark):
     assert all(x.b == x.one and x.k == x.a and x.f == "`" * 5 and x.n == 2 for x in r)
 
 
+def test_columns_agree_with_python(spark):
+    """Numbers and units of columns and of documents follow one rule."""
+    r = random.Random(3)
+    cells = [*HOSTILE, *("".join(r.choice("$€-+(),.%0123456789 ") for _ in range(r.randint(0, 7))) for _ in range(600))]
+    got = spark.createDataFrame([(x,) for x in cells], "a string").select(tx.normalize_number(F.col("a")), tx.mark_of(F.col("a"))).collect()
+    assert [tuple(x) for x in got] == [(tx.plain_number(x), tx.unit_mark(x)) for x in cells]
+
+
 def test_phrases():
     p = "the quick brown fox jumps over the lazy dog today"
     texts = [f"{p} and {i}" for i in range(6)]
@@ -147,6 +155,58 @@ def test_docx():
     assert d.title == "Doc" and [b.kind for b in d.blocks] == ["heading", "para", "list", "table"] and d.blocks[2].ordered
 
 
+def zipped(files: dict[str, str]) -> bytes:
+    f = io.BytesIO()
+    with zipfile.ZipFile(f, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return f.getvalue()
+
+
+def test_xlsx():
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda at, v, t="": f'<c r="{at}"{t}><v>{v}</v></c>'
+    shared = ' t="s"'
+    data = zipped({
+        "xl/workbook.xml": f'<workbook xmlns:r="{r}"><sheets><sheet name="Sales" r:id="a"/><sheet name="One" r:id="b"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="worksheets/first.xml"/><Relationship Id="b" Target="/xl/worksheets/second.xml"/></Relationships>',
+        "xl/sharedStrings.xml": "<sst><si><t>name</t></si><si><t>amount</t></si><si><r><t>No</t></r><r><t>rth</t></r></si></sst>",
+        "xl/worksheets/first.xml": f'<worksheet><sheetData><row>{cell("B2", 0, shared)}{cell("D2", 1, shared)}</row><row/><row>{cell("B4", 2, shared)}{cell("D4", 12)}</row></sheetData></worksheet>',
+        "xl/worksheets/second.xml": '<worksheet><sheetData><row><c r="A1" t="inlineStr"><is><t>alone</t></is></c></row></sheetData></worksheet>',
+    })
+    a, b = read_xlsx(data).blocks
+    assert (a.caption, a.grp, a.cols, a.rows) == ("Sales", "Sales", ["name", "amount"], [["North", "12"]])
+    assert (b.cols, b.rows) == (["c1"], [["alone"]])
+
+
+def test_pptx():
+    """Notes belong to the slide that names them, whatever their number."""
+    p = lambda *texts: "".join(f"<p><r><t>{t}</t></r></p>" for t in texts)
+    slide = lambda title, *texts: f'<sld><sp><nvPr><ph type="title"/></nvPr><txBody>{p(title)}</txBody></sp><sp><txBody>{p(*texts)}</txBody></sp></sld>'
+    link = '<Relationships><Relationship Id="r" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/notesSlide" Target="../notesSlides/notesSlide1.xml"/></Relationships>'
+    data = zipped({
+        "ppt/slides/slide1.xml": slide("First", "a", "b"), "ppt/slides/slide2.xml": slide("", "only"), "ppt/slides/slide10.xml": slide("Last"),
+        "ppt/slides/_rels/slide2.xml.rels": link, "ppt/notesSlides/notesSlide1.xml": f"<notes><sp><txBody>{p('said')}</txBody></sp></notes>",
+    })
+    assert [(b.kind, b.text, b.items, b.pairs) for b in read_pptx(data).blocks] == [
+        ("heading", "First", [], []), ("list", "", ["a", "b"], []), ("heading", "Slide 2", [], []), ("para", "only", [], []), ("kv", "", [], [("notes", "said")]), ("heading", "Last", [], [])]
+
+
+def test_marks_and_numbers():
+    """The scanner for emphasis, and numbers and units of cells."""
+    cases = {"***a*** b": "a b", "2 * 3 * 4": "2 * 3 * 4", "**x*": "*x", "a*b*c": "abc", "_ital and_ __strong words__": "ital and strong words", r"\*a\* *b*": "*a* b", "_one_": "_one_", "`a_b`": "`a_b`"}
+    assert {k: tx.clean_string(k) for k in cases} == cases
+    units = {"$5": "$", "-$5": "$", "$-5": "$", "7%": "%", "-7.5%": "%", "5": None, "$5%": None, "$": None, "": None, "x%": None}
+    assert {k: tx.unit_mark(k) for k in units} == units
+
+
+@given(st.text(alphabet="$€-+(),.%0123456789 x", max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_plain_number_settles(text):
+    once = tx.plain_number(text)
+    assert tx.plain_number(once) == once
+
+
 def test_diff():
     rows = [[str(i), f"name{i}"] for i in range(5)]
     old = Document("", [Block("heading", "H", level=1), Block("para", "same text here"), Block("table", cols=["id", "n"], rows=rows)])
