@@ -267,7 +267,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, states: int = STATES, rounds
         if seen > FREQUENT:
             break
         least = r.b
-    top = counts.filter(step >= least).toPandas()  # FREQUENT rows at most
+    top = counts.filter(step >= least).toArrow().to_pandas()  # FREQUENT rows at most
     top["u"] = top.h.to_numpy().astype(np.uint64)
     top = top.sort_values(["c", "u"], ascending=[False, True])
     top["code"] = 0
@@ -294,7 +294,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, states: int = STATES, rounds
     for _ in range(rounds if ends else 0):
         now = sc.broadcast((pi, a, b))
         got = encoded.filter(~F.col("held_out")).select("codes").mapInArrow(train_batches(now), f"symbol int, {', '.join(f'{c} double' for c in columns)}")
-        got = got.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).toPandas().sort_values("symbol")  # a row a symbol
+        got = got.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).toArrow().to_pandas().sort_values("symbol")  # a row a symbol
         x = got[columns].to_numpy()
         moves, first, out = x[:states][::-1] + SMOOTH, x[states] + SMOOTH, x[states + 1 :] + SMOOTH * (unigram[:, None] + 1) / (unigram.sum() / len(unigram) + 1)
         pi, a, b = first / first.sum(), moves / moves.sum(1, keepdims=True), out / out.sum(0)

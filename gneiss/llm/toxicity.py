@@ -339,8 +339,9 @@ def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Sc
     del terms, term
     space = sc.broadcast(Space(vocabulary, bases))
     df = np.zeros(max(len(vocabulary), 1))
-    held = rows.select("text").mapInArrow(frequency_batches(space), "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toPandas()  # a row a term
-    df[held.t.to_numpy(int)] = held.n
+    held = rows.select("text").mapInArrow(frequency_batches(space), "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    df[held.column("t").to_numpy()] = held.column("n").to_numpy()
+    del held
     idf = np.log((1 + docs.count()) / (1 + df)) + 1e-3
     toxic = np.array([toxic_of[x] for x in names], int)
     idf *= weight(at, toxic[e], len(df), toxic)
@@ -349,6 +350,7 @@ def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Sc
     cut = np.searchsorted(e, np.arange(1, len(names)))
     own_terms, own_tf = (np.split(at, cut), np.split(tf, cut)) if names else ([], [])
     index = Index(own_terms, own_tf, toxic, idf, (share.get(0, 0), share.get(1, 0)) if share else (1.0, 0.0), False)
+    del own_terms, own_tf, e, at, tf, order
     if not names or not share.get(1):
         index.none = 0.0
     shared = sc.broadcast(index)
