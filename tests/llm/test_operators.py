@@ -289,6 +289,25 @@ def test_embeddings(spark, monkeypatch, tile):
     assert all(y.kept == (y.vec_id == y.component_id) for y in got)
 
 
+def test_embeddings_shuffle_no_pairs(spark, monkeypatch):
+    """Each vector is shuffled a bounded number of times, however many tiles there are; clusters across tiles stay whole."""
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "BAND", 5)
+    r = np.random.default_rng(6)
+    x = np.float32(np.repeat(r.normal(size=(400, 32)), 4, 0) + r.normal(size=(1600, 32)) * 0.15)
+    frame = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<float>")
+    stages = lambda: spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    seen = {(s.stageId(), s.attemptId()) for s in (stages().apply(i) for i in range(stages().size()))}
+    got = embeddings.link_vectors(spark, frame).collect()
+    now = stages()
+    written = sum(s.shuffleWriteBytes() for s in (now.apply(i) for i in range(now.size())) if (s.stageId(), s.attemptId()) not in seen)
+    assert written < 12 * x.nbytes  # the components' rounds included
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    u, v = np.nonzero(unit @ unit.T >= 0.95)
+    pairs = [(i, j) for i, j in zip(u.tolist(), v.tolist(), strict=True) if i < j]
+    assert sorted((y.vec_id, y.n_links, y.component_id) for y in got) == components(len(x), pairs, range(len(x)))
+
+
 def test_quantisation_bound():
     r = np.random.default_rng(9)
     x = r.normal(size=(300, 64))
