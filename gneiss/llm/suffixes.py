@@ -88,11 +88,30 @@ def words_at(b: np.ndarray) -> np.ndarray:
 
 
 def common(raw: bytes, order: np.ndarray, depth: int) -> np.ndarray:
-    """For each suffix but the first whether it shares its first `depth` bytes (a multiple of 8) with the one before."""
+    """For each suffix but the first whether it shares its first `depth` bytes (a multiple of 8) with the one before.
+
+    The last bytes are compared first, as sorted neighbours mostly differ there. Of pairs whose places follow each other by
+    one byte, both of them, all agree if the first does: the next adds one byte only, among those last bytes.
+    """
     w = words_at(np.frombuffer(raw, np.uint8))
+
+    def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out, left = np.zeros(len(a), bool), np.arange(len(a))
+        for k in range(depth - 16, -8, -8):
+            ok = w[a + k] == w[b + k]
+            if not ok.all():
+                left, a, b = left[ok], a[ok], b[ok]
+        out[left] = True
+        return out
+
     same = np.zeros(max(len(order) - 1, 0), bool)
-    at = np.arange(len(same))
-    for k in range(0, depth, 8):
-        at = at[w[order[at] + k] == w[order[at + 1] + k]]
-    same[at] = True
+    at = np.flatnonzero(w[order[:-1] + (depth - 8)] == w[order[1:] + (depth - 8)])
+    at = at[np.argsort(order[at])]
+    a, b = order[at], order[at + 1]
+    head = np.ones(len(at), bool)
+    head[1:] = (np.diff(a) != 1) | (np.diff(b) != 1)
+    good = agree(a[head], b[head])[np.cumsum(head) - 1]
+    rest = np.flatnonzero(~good & ~head)
+    good[rest] = agree(a[rest], b[rest])
+    same[at[good]] = True
     return same

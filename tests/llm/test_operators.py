@@ -324,6 +324,31 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(201)) and all(got[500 + i] == 500 for i in range(60)) and got[900] == 900
 
 
+def test_common_prefixes(monkeypatch):
+    """Which sorted neighbours agree in their first bytes, against plain comparison; long repeats are not read byte by byte again."""
+    r = random.Random(3)
+    reads, made = [], suffixes.words_at
+
+    class Counted(np.ndarray):
+        def __getitem__(self, k):
+            reads.append(np.size(k))
+            return np.asarray(self)[k]
+
+    monkeypatch.setattr(suffixes, "words_at", lambda b: made(b).view(Counted))
+    for depth in (8, 16, 48):
+        for _ in range(60):
+            part = bytes(r.choice(b"ab") for _ in range(70))
+            raw = b"".join(part[: r.randint(0, 70)] + bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))) for _ in range(6)) + bytes(depth)
+            order = np.array(sorted(range(len(raw) - depth), key=lambda i: raw[i : i + depth + r.randint(0, 1)]), np.int64)
+            want = [raw[i : i + depth] == raw[j : j + depth] for i, j in zip(order, order[1:], strict=False)]
+            assert suffixes.common(raw, order, depth).tolist() == want
+    assert suffixes.common(b"x" * 400, np.zeros(0, np.int64), 400).tolist() == []
+    raw, reads[:] = r.randbytes(3000) * 2, []
+    order = np.array([k for i in range(2600) for k in (i, 3000 + i)], np.int64)
+    assert suffixes.common(raw, order, 400).tolist() == [i % 2 == 0 for i in range(len(order) - 1)]
+    assert sum(reads) < 10 * len(order)
+
+
 def test_suffix_order():
     r = random.Random(1)
     for _ in range(200):
